@@ -204,13 +204,21 @@ class Scanner:
         hit = np.flatnonzero(self.keys[at] == w.hash)
         pairs = {(int(r), k) for r, a in {(r, a) for r, a in zip(w.row[hit].tolist(), at[hit].tolist(), strict=True)} for k in self.of[a]}
         first, out, row_words = w.firsts(), [], {}
+        by_row: dict[int, list] = {}
         for r, k in sorted(pairs):
             if r not in row_words:
                 row_words = {r: w.hash[first[r] : first[r + 1]].tolist()}
             found = best_alignment(self.words[k], row_words[r], self.least[k])
             if found:
                 js = [j for _, j in found]
-                out.append((r, self.names[k], len(found), len(self.words[k]), int(w.start[first[r] + min(js)]), int(w.end[first[r] + max(js)])))
+                by_row.setdefault(r, []).append((r, self.names[k], len(found), len(self.words[k]), int(w.start[first[r] + min(js)]), int(w.end[first[r] + max(js)])))
+        for r in sorted(by_row):
+            taken: list[tuple[int, int]] = []
+            # Of templates that align with overlapping stretches the best is meant.
+            for x in sorted(by_row[r], key=lambda x: (-x[2] / x[3], -x[2], x[1])):
+                if all(x[5] <= s or e <= x[4] for s, e in taken):
+                    taken.append(x[4:6])
+                    out.append(x)
         return out
 
 
@@ -218,7 +226,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """(doc_id, license, coverage, span_start, span_end): each template of which a text
     aligns at least ``coverage``, by its best stretch; places count characters from 0.
 
-    * Case, punctuation and spacing are ignored. A text may match several templates.
+    * Case, punctuation and spacing are ignored. A text may match several templates;
+      of those whose stretches overlap, the one of the highest coverage (then with more
+      words, then the first by name) is given.
     * A license repeated in a text gives one row, for the first of the best stretches.
     * Null and empty texts match nothing. Repeated rows and ids each give their own
       rows; a null id stays null. Long texts are scanned whole.
