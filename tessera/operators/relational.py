@@ -25,7 +25,7 @@ def drop_subtrees(nodes: DataFrame, matched: DataFrame) -> DataFrame:
 
 def attribute(name: str) -> Column:
     """The value of an attribute, null if a node lacks it."""
-    return F.filter("attrs", lambda a: a["k"] == name)[0]["v"]
+    return F.get(F.filter("attrs", lambda a: a["k"] == name), F.lit(0))["v"]
 
 
 def subtree_texts(nodes: DataFrame, tags: tuple[str, ...]) -> DataFrame:
