@@ -78,7 +78,7 @@ def normalize(c: Column) -> Column:
     """Without fragment and one slash at the path's end; '' if it doesn't parse. Hosts and queries stay."""
     u = F.regexp_replace(F.regexp_replace(c, "#.*$", ""), "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+/[^?]+?)/($|[?])", "$1$2")
     ok = F.try_parse_url(F.regexp_replace(u, "[^\\x21-\\x7e]", "x"), F.lit("PROTOCOL")).isNotNull() | ~c.contains(":")
-    return F.when(ok, u).otherwise(F.lit(""))
+    return F.when(c.isNull(), F.lit(None)).when(ok, u).otherwise("")
 
 
 def authority(c: Column) -> Column:
