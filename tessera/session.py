@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,12 @@ def local_session(cpus: int | None = None, name: str = "tessera") -> SparkSessio
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables of a data folder: a Parquet file or a folder of them."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has
+    it. On a cluster the package is installed, or sent along with ``--py-files``."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    held = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in held:
+        env["PYTHONPATH"] = os.pathsep.join([root, *held])
