@@ -182,7 +182,7 @@ class Builder:
         self.frameset_ok = True
         self.drop_newline = False
 
-    # -- where nodes go -------------------------------------------------------
+    # -- where nodes go
     @property
     def top(self) -> Node:
         return self.stack[-1]
@@ -225,7 +225,7 @@ class Builder:
         self.stack.append(node)
         return node
 
-    # -- the stack ------------------------------------------------------------
+    # -- the stack
     def in_scope(self, tags, extra: frozenset = frozenset()) -> bool:
         tags = (tags,) if isinstance(tags, str) else tags
         for n in reversed(self.stack):
@@ -263,7 +263,7 @@ class Builder:
             self.imply_ends("p")
             self.pop_to("p")
 
-    # -- active formatting ----------------------------------------------------
+    # -- active formatting
     def remember(self, node: Node) -> None:
         same = []
         for k in range(len(self.active) - 1, -1, -1):
@@ -374,7 +374,7 @@ class Builder:
             if n.tag in SPECIAL:
                 return
 
-    # -- modes ----------------------------------------------------------------
+    # -- modes
     def feed(self, src: str) -> Node:
         for token in tokenize(src.replace("\x00", "")):
             kind = token[0]
@@ -731,7 +731,7 @@ class Builder:
             self.mode = "body"
             self.in_body(t)
 
-    # -- tables ---------------------------------------------------------------
+    # -- tables
     def in_table(self, t: tuple) -> None:
         kind, tag = t[0], t[1]
         if kind == "text" and self.top.tag in TABLE_PARTS:

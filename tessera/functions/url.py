@@ -73,7 +73,7 @@ def render_url(u: str, base: str = "", enabled: bool = False) -> str:
     return resolve(base, u) if parses(u) and parses(base) else u
 
 
-# -- the same as columns ------------------------------------------------------
+# -- the same as columns
 def normalize(c: Column) -> Column:
     """Without fragment and one slash at the path's end; '' if it doesn't parse. Hosts and queries stay."""
     u = F.regexp_replace(F.regexp_replace(c, "#.*$", ""), "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+/[^?]+?)/($|[?])", "$1$2")

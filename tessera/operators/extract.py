@@ -20,7 +20,7 @@ from tessera.functions.html import parse
 from tessera.functions.selectors import select
 from tessera.operators import costs
 from tessera.operators.pages import _column
-from tessera.operators.schemas import Schema
+from tessera.operators.schemas import AGAIN, FIX, PROMPT, Schema
 
 
 class ExtractError(Exception):
@@ -99,11 +99,9 @@ def cut(s: str, limit: int, mark: str = T.TRUNCATED) -> str:
 
 
 def build_prompt(content: str, schema: Schema, error: str | None, limit: int) -> str:
-    from tessera.operators.schemas import PROMPT
-
     out = [PROMPT, schema.prompt_description()]
     if error is not None:
-        out += ["\n## Previous Attempt Errors\n", "The previous extraction attempt had these errors that need to be fixed:\n", error, "\n\nPlease correct these errors in your response.\n"]
+        out += [AGAIN, error, FIX]
     return "".join((*out, "\n## Webpage Content\n```\n", cut(content, limit), "\n```\n"))
 
 

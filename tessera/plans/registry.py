@@ -33,7 +33,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["clean_text_default"](spark, sf_dir)
 
 
-# -- pieces of SQL -------------------------------------------------------------
+# -- pieces of SQL
 NORM = r"regexp_replace(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+/[^?]+?)/($|[?])', '\1\2')"
 AUTHORITY = "regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/?#]*)', 1)"
 LINK = "regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || replace(replace(url_encode(h), '%2F', '/'), '%2C', ',')"
@@ -53,7 +53,7 @@ BODY = NO_SCRIPT.format("html")
 NO_AD = f"regexp_replace({BODY}, '(?s)<div class=\"ad\">.*?</div>', '', 'g')"
 
 
-# -- URLs ----------------------------------------------------------------------
+# -- URLs
 @query(f"SELECT page_id, {NORM} AS norm FROM pages")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.normalize(F.col("url")).alias("norm"))
@@ -95,7 +95,7 @@ def render_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("page_id", U.scheme_added(F.col("h")).alias("shown"), U.placeholder_image(F.col("h")).alias("placeholder"))
 
 
-# -- pages ---------------------------------------------------------------------
+# -- pages
 @query(f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, link FROM (SELECT page_id, {LINK} AS link, min(k) AS k FROM ({HREFS}) WHERE h <> '' AND NOT starts_with(h, '#') GROUP BY 1, 2)")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
@@ -132,7 +132,7 @@ def dom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.filter(F.col("tag").isin(*tags)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-# -- cleaning ------------------------------------------------------------------
+# -- cleaning
 CLEAN_TEXT = f"SELECT page_id, {plain(NO_AD)} AS txt FROM pages"
 
 
@@ -242,7 +242,7 @@ def min_content_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", pages.enough_content(F.col("text"), 500).alias("enough"))
 
 
-# -- classes -------------------------------------------------------------------
+# -- classes
 CHALLENGES = (
     (-1, "Just a moment...", "<p>x</p>"), (-2, "x", '<div id="cf_chl_opt">'), (-3, "x", '<div class="cf-turnstile">'), (-4, "x", '<div class="h-captcha">'),
     (-5, "x", '<script src="https://www.google.com/recaptcha/api.js">'), (-6, "Access Denied", ""), (-7, "x", "Robot or human?"), (-8, "ok", "fine"),
@@ -284,7 +284,7 @@ def retry_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", costs.retryable(F.expr(_RETRY)).alias("again"), costs.truncated(F.expr(_FINISH)).alias("cut"))
 
 
-# -- records -------------------------------------------------------------------
+# -- records
 RECORD = schemas.Schema("event", "", (schemas.Field("k", "integer", required=True), schemas.Field("name", "string"), schemas.Field("tags", "array", items=schemas.Field(type="string"))))
 _PROPS = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"k": "7", "name": 3}' WHEN 3 THEN '{"name": "a", "tags": ["x", 1]}' WHEN 4 THEN '{"k": 1.5, "tags": "x"}' ELSE '{"k": 2, "tags": ["x"], "name": null, "more": 1}' END"""
 
@@ -369,7 +369,7 @@ def stats_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("event_type", F.explode(pages.top_details(F.col("m"))).alias("x")).select("event_type", F.col("x.key").cast("long").alias("user_id"), F.col("x.value").alias("n"))
 
 
-# -- crawl ---------------------------------------------------------------------
+# -- crawl
 _EDGES = """SELECT 'http://h/n/' || n_nationkey AS src, 'http://h/c/' || c_custkey AS dst, c_custkey AS pos FROM nation JOIN customer ON n_nationkey = c_nationkey
   UNION ALL SELECT 'http://h/c/' || o_custkey, 'http://h/o/' || o_orderkey, o_orderkey FROM orders
   UNION ALL SELECT 'http://h/o/' || o_orderkey, 'http://other/x' || o_orderkey, 1 FROM orders
@@ -388,7 +388,7 @@ def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.levels(seeds, spark.sql(_EDGES), max_depth=3).select("url", "depth")
 
 
-# -- extraction and sinks ------------------------------------------------------
+# -- extraction and sinks
 PAGE_SCHEMA = schemas.Schema("page", "A page", (schemas.Field("title", "string", required=True), schemas.Field("links", "array", items=schemas.Field(type="string"))))
 RULES = extract.RuleExtractor({"title": "article > h1", "links": "nav a@href"})
 

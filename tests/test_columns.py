@@ -69,12 +69,12 @@ def test_challenges(spark):
     assert df.filter(pages.challenge_class(F.col("t"), F.col("h")) != F.col("want")).count() == 0
 
 
-# -- schemas -------------------------------------------------------------------
+# -- schemas
 S = schemas.Schema.of({
     "name": "x", "description": "d",
     "fields": {
         "a": {"type": "string", "required": True, "description": "an a"}, "i": {"type": "integer"}, "n": {"type": "number"}, "b": {"type": "boolean"},
-        "l": {"type": "array", "items": {"type": "array", "items": {"type": "number"}}}, "o": {"type": "object", "properties": [{"name": "p", "type": "string", "required": True}]}, "u": {"type": "odd"},
+        "l": {"type": "array", "items": {"type": "array", "items": {"type": "number"}}}, "o": {"properties": [{"required": True, "name": "p", "type": "string"}], "type": "object"}, "u": {"type": "odd"},
     },
 })
 RECORDS = [
@@ -130,7 +130,7 @@ def test_rules(spark):
     assert got == [["is required", "must be at least 3", "must be a valid email address"], [], ["must be a valid email address"], ["is required"]]
 
 
-# -- extraction ----------------------------------------------------------------
+# -- extraction
 ONE = schemas.Schema("x", "", (schemas.Field("a", "string", required=True),))
 
 
@@ -178,7 +178,7 @@ def test_fallback_and_pipeline():
     assert extract.detect({}) == "ollama" and extract.create("rules", {"a": "p"}).name == "rules"
 
 
-# -- crawl, nodes, streams, sinks ----------------------------------------------
+# -- crawl, nodes, streams, sinks
 SITE = {
     "http://h/": "<a class=p href=/a>1</a><a class=p href='/b#x'>2</a><a class=p href='http://o/z'>3</a><a class=n href='/2'>n</a>" + "<p>text</p>" * 50,
     "http://h/a": "<a class=p href=/c>1</a><a class=p href=/>0</a>" + "<p>a</p>" * 200,
