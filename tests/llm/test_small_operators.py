@@ -19,7 +19,7 @@ def rows_of(df):
     return sorted(tuple(map(repr, r)) for r in df.collect())
 
 
-# -- chat ----------------------------------------------------------------------
+# -- chat
 TURNS = "conv_id long, turn long, role string, text string"
 
 
@@ -42,7 +42,7 @@ def test_chat_equals_sql_with_clashing_names(spark):
     assert chat.format_chats(long).collect()[0].n_messages == 2000
 
 
-# -- mixing --------------------------------------------------------------------
+# -- mixing
 def mixed(docs_of, n=400):
     rng = random.Random(7)
     return docs_of([(k, " ".join(["w"] * rng.randint(0, 30)) if k % 17 else None, "en", rng.choice(("src0",) * 5 + ("src1", "src2", "src9", None)), 0) for k in range(n)])
@@ -74,7 +74,7 @@ def test_take_mix_takes_what_mix_admits(docs_of, odd_docs):
     assert mixing.mix(odd_docs, budget_tokens=0).filter("n_tokens > 0").count() == 0
 
 
-# -- sharding ------------------------------------------------------------------
+# -- sharding
 def test_shards_equal_sql_and_balance(docs_of, spark):
     rng = random.Random(1)
     d = docs_of([(k, "x" * rng.randint(0, 200), "en", "s", 0) for k in range(3000)])
@@ -108,7 +108,7 @@ def test_shard_odd_rows(odd_docs, docs_of):
     assert sharding.shard(docs_of([])).count() == 0
 
 
-# -- token counts --------------------------------------------------------------
+# -- token counts
 def test_token_counts_equal_whole_encoding(docs_of, odd_docs):
     rng = random.Random(3)
     text = " ".join(rng.choice(("the", "don't", "12", "naïve", "x.y", "  gap", "\n\n", "日本", "a_b")) for _ in range(60_000))
@@ -122,7 +122,7 @@ def test_token_counts_equal_whole_encoding(docs_of, odd_docs):
     assert token_counts.count_tokens(wide).count() == wide.count() and token_counts.count_tokens(docs_of([])).count() == 0
 
 
-# -- neighbours ----------------------------------------------------------------
+# -- neighbours
 VECS = "vec_id long, embedding array<float>, label int"
 
 
