@@ -8,6 +8,7 @@ the page. So results don't depend on timing or on the number of partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -87,7 +88,7 @@ def page_edges(pages: DataFrame, selector: str = "a[href]", pattern: str | None
     return pages.select(F.col(url_col).alias("src"), F.posexplode(links).alias("pos", "dst")).select("src", "dst", "pos")
 
 
-def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None, clean: str = "default") -> DataFrame:
+def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None, clean: str = "default", on_queued: Callable[[int], None] | None = None) -> DataFrame:
     """(url, depth, seq, content, error, extract): the pages that a crawl of the snapshot
     ``pages`` (url, html) visits.
 
@@ -95,7 +96,7 @@ def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None,
     has fewer than ``min_content`` bytes, have an error and aren't followed. Follow
     links are admitted before a page's next link; that stays at depth 0 and is looked
     for at depth 0 only. ``max_pages`` bounds the visited pages of depth 0, ``max_urls``
-    all visited ones."""
+    all visited ones. ``on_queued`` is told how many URLs were ever admitted."""
     c = config or CrawlConfig()
     spark = pages.sparkSession
     snap = pages.select(U.normalize(F.col("url")).alias("url"), F.col("url").alias("page_url"), "html")
@@ -104,6 +105,8 @@ def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None,
     visited = todo.select("url").limit(0)
     todo = _kept(admit(todo, visited))
     visited = todo.select("url")
+    if on_queued:
+        on_queued(visited.count())
     out, taken, top_pages = None, 0, 0
     while True:
         depth0 = todo.filter("depth = 0")
@@ -146,6 +149,8 @@ def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None,
         found = found.withColumn("seq", (F.row_number().over(Window.orderBy("order")) + F.lit(taken)).cast("long")).select("url", "depth", "seq")
         todo = _kept(admit(found, visited))
         visited = visited.union(todo.select("url"))
+        if on_queued:
+            on_queued(visited.count())
     return out if out is not None else spark.createDataFrame([], "url string, depth int, seq long, content string, error string, extract boolean")
 
 
