@@ -24,7 +24,7 @@ DEFAULT_WEIGHT = 1.0
 #: The part of all tokens that the mix may hold.
 BUDGET_SHARE = 0.8
 #: Hex digits of the shuffle hash that name a bucket within a source.
-DIGITS = 2
+DIGITS = 3
 #: Ranges of the finish time, of which only the one that the budget ends in is sorted exactly.
 RANGES = 4096
 
