@@ -91,6 +91,9 @@ class Node:
 
 _TAG = re.compile(r"<(?:(!--)|(!)|(\?)|(/)?([A-Za-z][^\s/>]*))")
 _ATTR = re.compile(r"[\s/]*(?:([^\s/>=][^\s/>=]*|=[^\s/>=]*)\s*(?:=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]*)))?)")
+# Tags as they are mostly written: an end tag, or a start tag with double-quoted values or none.
+_PLAIN = re.compile(r"<(?:/([A-Za-z][^\s/>]*)\s*>|([A-Za-z][A-Za-z0-9\-]*)((?:\s+[A-Za-z_:@][^\s\"'<>/=]*(?:=\"[^\"]*\")?(?=[\s>]))*)\s*>)")
+_PAIR = re.compile(r"([A-Za-z_:@][^\s\"'<>/=]*)(?:=\"([^\"]*)\")?")
 _COMMENT_END = re.compile(r"--!?>")
 
 
@@ -111,11 +114,28 @@ def tokenize(src: str) -> Iterator[tuple]:
     src = src.replace("\r\n", "\n").replace("\r", "\n")
     at, n, held = 0, len(src), 0
     while at < n:
-        m = _TAG.search(src, at)
-        if not m:
+        lt = src.find("<", at)
+        if lt < 0:
             break
-        if m.group(4) is None and src.startswith("</", m.start()):  # pragma: no cover - _TAG has no such form
-            at = m.end()
+        m = _PLAIN.match(src, lt)
+        if m:
+            if lt > held:
+                yield "text", _unescape(src[held:lt])
+            held = at = m.end()
+            if m.group(1):
+                yield "end", m.group(1).lower()
+                continue
+            tag, attrs = m.group(2).lower(), {}
+            if m.group(3):
+                for k, v in _PAIR.findall(m.group(3)):
+                    attrs.setdefault(k.lower(), _unescape(v, True) if "&" in v else v)
+            yield "start", tag, attrs, False
+            if tag in RAW or tag in RCDATA:
+                held = at = yield from _raw(src, tag, at)
+            continue
+        m = _TAG.match(src, lt)
+        if not m:
+            at = lt + 1
             continue
         if m.start() > held:
             yield "text", _unescape(src[held : m.start()])
@@ -158,16 +178,27 @@ def tokenize(src: str) -> Iterator[tuple]:
                 continue
             yield "start", tag, attrs, closed
             if tag in RAW or tag in RCDATA:
-                e = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(src, at) if tag != "plaintext" else None
-                stop = e.start() if e else n
-                if stop > at:
-                    body = src[at:stop]
-                    yield "raw", _unescape(body) if tag in RCDATA else body
-                held = at = stop
+                held = at = yield from _raw(src, tag, at)
     if held < n:
         yield "text", _unescape(src[held:])
 
 
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in (RAW | RCDATA) - {"plaintext"}}
+
+
+def _raw(src: str, tag: str, at: int) -> Iterator[tuple]:
+    """The content of a raw element as a token; returns where its end tag is."""
+    e = _ENDS[tag].search(src, at) if tag in _ENDS else None
+    stop = e.start() if e else len(src)
+    if stop > at:
+        body = src[at:stop]
+        yield "raw", _unescape(body) if tag in RCDATA else body
+    return stop
+
+
+MODES = "initial before_html before_head head after_head body after_body table table_body row cell caption colgroup select".split()
+
+
 class Builder:
     """Tree construction. ``parse`` and ``parse_fragment`` are its uses."""
 
@@ -376,6 +407,7 @@ class Builder:
 
     # -- modes
     def feed(self, src: str) -> Node:
+        modes = {m: getattr(self, "in_" + m) for m in MODES}
         for token in tokenize(src.replace("\x00", "")):
             kind = token[0]
             if kind == "raw":
@@ -390,7 +422,7 @@ class Builder:
                 token = ("text", token[1][1:])
             self.drop_newline = False
             self.raw_ok = True
-            getattr(self, "in_" + self.mode)(token)
+            modes[self.mode](token)
         self.finish()
         return self.doc
 

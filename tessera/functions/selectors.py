@@ -210,6 +210,46 @@ def compiled(selector: str) -> Test:
     return tests[0] if len(tests) == 1 else (lambda n: any(t(n) for t in tests))
 
 
+_SIMPLE = re.compile(rf"^(?:({_NAME})|([.#])({_NAME})|\[\s*({_NAME})\s*(?:(\*?=)\s*['\"]([^'\"]+)['\"]\s*)?\])$")
+
+
+class Traits:
+    """What the elements of a tree have, to rule out simple selectors without a look at each element."""
+
+    def __init__(self, elements: list[Node]):
+        self.tags, self.values = set(), {}
+        for n in elements:
+            self.tags.add(n.tag)
+            for k, v in n.attrs.items():
+                if k in self.values:
+                    self.values[k].append(v)
+                else:
+                    self.values[k] = [v]
+        self.classes = {c for v in self.values.get("class", ()) for c in v.split()}
+        self.ids = set(self.values.get("id", ()))
+
+    def may_match(self, selector: str) -> bool:
+        """False only if no element matches."""
+        tag, mark, name, attribute, op, want = _simple(selector)
+        if tag:
+            return tag in self.tags
+        if mark:
+            return name in (self.classes if mark == "." else self.ids)
+        if attribute:
+            values = self.values.get(attribute, ())
+            return bool(values) if not op else any(want in v for v in values)
+        return True
+
+
+@lru_cache(4096)
+def _simple(selector: str) -> tuple:
+    m = _SIMPLE.match(selector)
+    if not m or "\\" in selector:
+        return (None,) * 6
+    return m[1] and m[1].lower(), m[2], m[3], m[4] and m[4].lower(), m[5], m[6]
+
+
+@lru_cache(4096)
 def matcher(selector: str) -> Test:
     """The test of a selector; one that can't be read matches nothing."""
     try:
