@@ -35,10 +35,10 @@ class CrawlConfig:
         return bool(self.follow_selector or self.follow_pattern)
 
 
-def admit(found: DataFrame, visited: DataFrame) -> DataFrame:
+def admit(found: DataFrame, visited: DataFrame, order: tuple[str, ...] = ("depth", "seq")) -> DataFrame:
     """(url, depth, seq) of ``found`` (url, depth, seq) that weren't met before: normalised,
-    '' left out, of equal ones the first."""
-    w = Window.partitionBy("url").orderBy("depth", "seq")
+    '' left out, of equal ones the first. ``seq`` may be of any type that can be ordered."""
+    w = Window.partitionBy("url").orderBy(*order)
     new = found.withColumn("url", U.normalize(F.col("url"))).filter("url is not null and url <> ''")
     new = new.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
     return new.join(visited.select("url"), "url", "left_anti")
@@ -52,34 +52,49 @@ def levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 1, same_domain:
     if same_domain:
         e = e.filter(U.same_domain(F.col("src"), F.col("dst")))
     e = e.select("src", U.normalize(F.col("dst")).alias("dst"), "pos")
-    none = seeds.select("url").limit(0)
-    now = _numbered(admit(seeds.select("url", F.lit(0).alias("depth"), F.col("seq").cast("long")), none), 0, max_urls)
-    out, taken = now, now.count()
+    now, taken = _numbered(admit(seeds.select("url", F.lit(0).alias("depth"), "seq"), seeds.select("url").limit(0)), 0, max_urls)
+    out = now
     for depth in range(1, max_depth + 1):
         if max_urls and taken >= max_urls:
             break
-        found = now.join(e, now["url"] == e["src"]).select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.struct("seq", "pos").alias("order"))
-        found = found.withColumn("seq", F.row_number().over(Window.orderBy("order")).cast("long")).drop("order")
-        now = _kept(_numbered(admit(found, out), taken, max_urls - taken if max_urls else 0))
-        many = now.count()
+        found = now.join(e, now["url"] == e["src"]).select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.struct("seq", "pos").alias("seq"))
+        now, many = _numbered(admit(found, out), taken, max_urls)
         if not many:
             break
         out, taken = out.unionByName(now), taken + many
     return out
 
 
-def _numbered(level: DataFrame, before: int, limit: int) -> DataFrame:
-    """A level's rows numbered after ``before`` others, and the first ``limit`` of them."""
-    out = level.withColumn("seq", F.row_number().over(Window.orderBy("seq", "url")) + F.lit(before)).select("url", "depth", F.col("seq").cast("long"))
-    return out.filter(F.col("seq") <= before + limit) if limit else out
+def _numbered(level: DataFrame, before: int, limit: int = 0) -> tuple[DataFrame, int]:
+    """A level's rows (url, depth, seq) numbered in their order after ``before`` others, up
+    to number ``limit``, and how many they are.
+
+    The rows are sorted by ranges and counted per partition, so no task sorts the
+    level; only the partitions' counts come to the driver."""
+    spark = level.sparkSession
+    rows = level.repartitionByRange("seq", "url").sortWithinPartitions("seq", "url").withColumn("m", F.monotonically_increasing_id())
+    rows = _kept(rows)
+    part = F.shiftrightunsigned("m", 33)
+    counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, at = [], before
+    for p in sorted(counts):
+        starts.append((p, at - (p << 33) + 1))
+        at += counts[p]
+    # One row for each partition.
+    shift = F.broadcast(spark.createDataFrame(starts or [(0, 0)], "p long, shift long"))
+    out = rows.withColumn("p", part).join(shift, "p").select("url", "depth", (F.col("m") + F.col("shift")).alias("seq"))
+    if limit:
+        out, at = out.filter(F.col("seq") <= limit), max(before, min(at, limit))
+    return out, at - before
 
 
 def _kept(df: DataFrame) -> DataFrame:
     """Lineage ends here if the session has a folder for it, so that levels don't pile up in the plan."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.cache()
+    folder, set_ = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    if folder and not set_:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if folder or set_ else df.cache()
 
 
 def page_edges(pages: DataFrame, selector: str = "a[href]", pattern: str | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -101,19 +116,19 @@ def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None,
     spark = pages.sparkSession
     snap = pages.select(U.normalize(F.col("url")).alias("url"), F.col("url").alias("page_url"), "html")
     snap = snap.withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy("page_url"))).filter("k = 1").drop("k")
-    todo = spark.createDataFrame([(u, 0, k) for k, u in enumerate(seeds)], "url string, depth int, seq long")
-    visited = todo.select("url").limit(0)
-    todo = _kept(admit(todo, visited))
+    first = spark.createDataFrame([(u, 0, k) for k, u in enumerate(seeds)], "url string, depth int, seq long")
+    todo, admitted = _numbered(admit(first, first.select("url").limit(0)), 0)
     visited = todo.select("url")
     if on_queued:
-        on_queued(visited.count())
+        on_queued(admitted)
     out, taken, top_pages = None, 0, 0
     while True:
         depth0 = todo.filter("depth = 0")
         if c.max_pages:
-            depth0 = depth0.withColumn("k", F.row_number().over(Window.orderBy("seq"))).filter(F.col("k") <= max(c.max_pages - top_pages, 0)).drop("k")
+            depth0 = depth0.orderBy("seq").limit(max(c.max_pages - top_pages, 0))
         now = depth0.unionByName(todo.filter("depth > 0"))
-        now = _numbered_any(now, taken, c.max_urls)
+        if c.max_urls:
+            now = now.orderBy("seq").limit(c.max_urls - taken)
         rows = now.join(snap, "url", "left")
         extract = F.lit(not c.follows) | (F.col("depth") > 0) | F.lit(c.extract_from_seeds)
         rows = rows.withColumn("extract", extract).withColumn("content", F.when(F.col("extract"), P.clean_html(F.col("html"), clean, output="markdown")))
@@ -136,27 +151,24 @@ def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None,
             found = open_.filter(F.col("depth") < c.max_depth).select("url", "depth", "seq", F.posexplode(links).alias("pos", "dst"))
             if c.same_domain:
                 found = found.filter(U.same_domain(F.col("url"), F.col("dst")))
-            found = found.select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), F.struct("seq", F.lit(0).alias("last"), "pos").alias("order"))
+            found = found.select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), F.struct("seq", F.lit(0).alias("last"), "pos").alias("seq"))
         if c.next_selector:
             nxt = P.find_next_page(F.col("html"), F.col("page_url"), c.next_selector)
             more = open_.filter("depth = 0").select("seq", nxt.alias("url")).filter("url is not null")
-            more = more.select("url", F.lit(0).alias("depth"), F.struct("seq", F.lit(1).alias("last"), F.lit(0).alias("pos")).alias("order"))
+            more = more.select("url", F.lit(0).alias("depth"), F.struct("seq", F.lit(1).alias("last"), F.lit(0).alias("pos")).alias("seq"))
             found = more if found is None else found.unionByName(more)
         if found is None:
             break
-        # Of one URL met twice the first meeting counts, so order goes before depth.
-        found = found.withColumn("url", U.normalize(F.col("url"))).withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy("order"))).filter("k = 1")
-        found = found.withColumn("seq", (F.row_number().over(Window.orderBy("order")) + F.lit(taken)).cast("long")).select("url", "depth", "seq")
-        todo = _kept(admit(found, visited))
+        # Of a URL that is met twice the first meeting counts, whatever its depth.
+        todo, many = _numbered(admit(found, visited, ("seq",)), admitted)
+        if not many:
+            break
+        admitted += many
         visited = visited.union(todo.select("url"))
         if on_queued:
-            on_queued(visited.count())
+            on_queued(admitted)
     return out if out is not None else spark.createDataFrame([], "url string, depth int, seq long, content string, error string, extract boolean")
 
 
-def _numbered_any(level: DataFrame, before: int, limit: int) -> DataFrame:
-    return _numbered(level, before, limit - before if limit else 0)
-
-
 def crawl_many(seeds: list[str], pages: DataFrame, **options) -> DataFrame:
     return crawl(seeds, pages, CrawlConfig(**options))
