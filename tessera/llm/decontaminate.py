@@ -213,7 +213,7 @@ def span_column(spark: SparkSession, phrases: Phrases, text: Column) -> Column:
     def find(col: pa.Array) -> pa.Array:
         out: list = [None] * len(col)
         at = 0
-        for b in pieces(pa.RecordBatch.from_arrays([col], ["t"]), "t", 8 << 20):
+        for b in pieces(pa.RecordBatch.from_arrays([col], ["t"]), "t", 2 << 20):
             for row, spans in held.value.find(b.column("t")).items():
                 raw = b.column("t")[row].as_py().encode()
                 places = [(len(raw[:s].decode()), len(raw[:e].decode()), items) for s, e, items in spans]

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 SEP, WORD, PUNCT = 0, 1, 2
 
 
@@ -196,8 +196,9 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         return mix(s), r
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about ``limit`` bytes of text; a longer text is a part of its own."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``limit`` bytes of text; a longer text is a part of its own.
+    What Arrow holds beyond the parts in use is given back after each batch."""
     if batch.num_rows == 0:
         return
     _, offs = text_bytes(batch.column(column))
@@ -206,3 +207,4 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
