@@ -92,14 +92,15 @@ def best(ids: np.ndarray, rows: np.ndarray, others: np.ndarray, other_ids: np.nd
 
 
 def unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(r, d, u): row key, id and unit vector (doubles) of the rows that can be compared."""
+    """(d, u): id and unit vector of the rows that can be compared. Elements are floats, as
+    they are in the tables that this is meant for: half the bytes to move."""
     v = F.col(vec_col).cast("array<double>")
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     rows = vectors.select(F.col(id_col).cast("long").alias("d"), v.alias("v"), length.alias("l"))
     rows = rows.filter("d is not null and l > 0 and l < double('Infinity')")
     # An id with several vectors keeps the least one; repeated rows are one row.
     rows = rows.groupBy("d").agg(F.min(F.struct("v", "l")).alias("x"))
-    return rows.select("d", F.transform("x.v", lambda e: e / F.col("x.l")).alias("u"))
+    return rows.select("d", F.transform("x.v", lambda e: (e / F.col("x.l")).cast("float")).alias("u"))
 
 
 def nearest(
@@ -138,7 +139,7 @@ def nearest(
                     [pa.array(np.full(b.num_rows, c, np.int32)), pa.array(curve_keys(unit, c, dims, bits)), b.column("d"), b.column("u")], ["c", "k", "d", "u"]
                 )
 
-    ordered = rows.mapInArrow(keyed, "c int, k long, d long, u array<double>").repartitionByRange("c", "k", "d").sortWithinPartitions("c", "k", "d")
+    ordered = rows.mapInArrow(keyed, "c int, k long, d long, u array<float>").repartitionByRange("c", "k", "d").sortWithinPartitions("c", "k", "d")
     ordered = written(ordered.withColumn("m", F.monotonically_increasing_id()), "curves")
     # Rank on the curve: rows of the curve in earlier partitions, and place in this one.
     part = F.shiftrightunsigned("m", 33)
