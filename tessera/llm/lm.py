@@ -1,12 +1,18 @@
 """Language-model scoring with a log-bilinear model trained by noise contrast.
 
 The model predicts a word's vector from the CONTEXT words before it by one matrix for
-each place, and scores a word by the dot product plus its bias. Its vocabulary and the
-noise distribution come from the word counts of all documents. It is trained on all
-documents: each partition makes one pass over its texts from the same start, and the
-partitions' parameters are averaged by their words. Training tells each word from
-noise words, so needs no sum over the vocabulary; scoring is normalised over it, by
+each place, and scores a word by the dot product plus its bias. Its symbols are the most
+frequent words and, for all others, CLASSES classes by a hash of a word's last two
+bytes; these and the noise distribution come from the word counts of all documents. It
+is trained on all documents: each partition makes one pass over its texts from the same
+start, and the partitions' parameters are averaged by their words. Training tells each
+symbol from noise, so needs no sum over the symbols; scoring is normalised over them, by
 matrix products over whole batches of contexts.
+
+Within its class, every word that occurs LEAST times has the probability of its own
+count: this vocabulary grows with the corpus, so it is a table that is joined. Rarer
+words share what is left by their spelling: bytes from the last to the first, each given
+the two after it, normalised over all strings of the class that aren't in the vocabulary.
 """
 
 from __future__ import annotations
@@ -20,10 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import U, pieces, tokens
+from tessera.llm.shared import written
+from tessera.llm.words import WORD, U, Words, _classes, _tables, mix, pieces, text_bytes, tokens
 
-#: Words of the vocabulary, with the two below.
+#: Words that are symbols of their own, with the two below.
 VOCABULARY = 1024
+#: Classes of all other words. The first one is OTHER, the others follow the words.
+CLASSES = 256
+#: A word counted as often has a probability of its own in its class; rarer ones are spelled.
+LEAST = 5
 BEGIN, OTHER = 0, 1
 CONTEXT = 2
 DIMS = 24
@@ -33,24 +44,43 @@ RATE = 0.15
 SEED = 5
 
 
+def folded(col: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all rows as they are hashed, and the first byte and the end of each word in them."""
+    data, offs = text_bytes(col)
+    base = offs[w.row]
+    return (_classes(data)[1] if len(data) else data), base + w.start, base + w.end
+
+
+def class_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word, by its last two bytes."""
+    if len(end) == 0:
+        return np.zeros(0, np.int64)
+    last = data[end - 1].astype(U)
+    before = np.where(end - start > 1, data[end - 2], 0).astype(U)
+    return (mix(last | (before << U(8))) % U(classes)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
-    """Known words' hashes, sorted, their ids, and the share of each id in the corpus."""
+    """The most frequent words' hashes, sorted, their ids, and the share of each id in
+    the corpus. ``size`` ids are these words', BEGIN and OTHER; the classes' follow."""
 
     hashes: np.ndarray
     ids: np.ndarray
     share: np.ndarray
+    size: int
+    classes: int
 
     @staticmethod
-    def of(top: list[tuple[int, int]], total: int, size: int) -> Vocabulary:
+    def of(top: list[tuple[int, int]], rest: np.ndarray, size: int) -> Vocabulary:
         h = np.array([t[0] for t in top], np.int64).view(U)
         order = np.argsort(h)
-        share = np.zeros(size)
+        share = np.zeros(size + len(rest) - 1)
         share[2 : 2 + len(top)] = [t[1] for t in top]
-        share[OTHER] = max(total - share.sum(), 0)
+        share[OTHER], share[size:] = rest[0], rest[1:]
         share += 1.0
         share[BEGIN] = 0.0
-        return Vocabulary(h[order], (np.arange(len(top)) + 2)[order], share / share.sum())
+        return Vocabulary(h[order], (np.arange(len(top)) + 2)[order], share / share.sum(), size, len(rest))
 
     def ids_of(self, h: np.ndarray) -> np.ndarray:
         if len(self.hashes) == 0:
@@ -60,8 +90,15 @@ class Vocabulary:
 
     def stream(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, the ids of their contexts (words x CONTEXT), and their rows."""
-        w = tokens(col)
+        return self.stream_of(col, tokens(col))
+
+    def stream_of(self, col: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.ids_of(w.hash)
+        rest = np.flatnonzero(x == OTHER)
+        if len(rest) and self.classes > 1:
+            data, start, end = folded(col, w)
+            g = class_of(data, start[rest], end[rest], self.classes)
+            x[rest] = np.where(g == 0, OTHER, self.size + g - 1)
         before = np.full((len(x), CONTEXT), BEGIN, np.int64)
         for j in range(1, CONTEXT + 1):
             if len(x) > j:
@@ -193,40 +230,170 @@ class Scorer:
         return s - self.log_norms(before)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(k, c): the hash of every word of ``docs`` (t) and how often it occurs."""
+def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
+    """(k, w, g, c): hash, bytes and class of every word of ``docs`` (t) and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(col):
+            t = tokens(col)
+            k, first, c = np.unique(t.hash, return_index=True, return_counts=True)
+            data, start, end = folded(col, t)
+            start, end = start[first], end[first]
+            offs = np.concatenate(([0], np.cumsum(end - start)))
+            own = data[np.repeat(start - offs[:-1], end - start) + np.arange(offs[-1])]
+            spelt = pa.Array.from_buffers(pa.large_binary(), len(k), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(own)])
+            return k, c, spelt, class_of(data, start, end, classes)
+
         def summed(held):
-            k, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            return k, np.bincount(at, np.concatenate([c for _, c in held]), len(k)).astype(np.int64)
+            k, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+            c = np.bincount(at, np.concatenate([h[1] for h in held]), len(k)).astype(np.int64)
+            return k, c, pa.concat_arrays([h[2] for h in held]).take(pa.array(first)), np.concatenate([h[3] for h in held])[first]
+
+        def given(k, c, spelt, g):
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), spelt.cast(pa.binary()), pa.array(g.astype(np.int32)), pa.array(c)], ["k", "w", "g", "c"])
 
         held, size = [], 0
         for whole in batches:
             for b in pieces(whole, "t"):
-                held.append(np.unique(tokens(b.column("t")).hash, return_counts=True))
-                size += len(held[-1][0])
+                held.append(counted(b.column("t")))
+                # Long words count by their bytes.
+                size += len(held[-1][0]) + held[-1][2].nbytes // 32
                 if size > 2_000_000:
                     held = [summed(held)]
-                    if len(held[0][0]) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["k", "c"])
+                    if len(held[0][0]) + held[0][2].nbytes // 32 > 1_000_000:
+                        yield given(*held[0])
                         held = []
-                    size = sum(len(h) for h, _ in held)
+                    size = sum(len(h[0]) for h in held)
         if held:
-            k, c = summed(held)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["k", "c"])
+            yield given(*summed(held))
+
+    return docs.mapInArrow(run, "k long, w binary, g int, c long").groupBy("k", "w", "g").agg(F.sum("c").alias("c"))
 
-    return docs.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = 1) -> Vocabulary:
+    """The most frequent words of ``docs`` (t), equally frequent ones by hash, and the classes' shares."""
+    return symbols_of(written(count_words(docs, classes), "words"), size, classes)[0]
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The most frequent words of ``docs`` (t); equally frequent ones by hash."""
-    from tessera.llm.shared import written
 
-    counts = written(count_words(docs), "words")
-    total = counts.agg(F.sum("c")).first()[0] or 0
+def symbols_of(counts: DataFrame, size: int, classes: int) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of ``counts`` (by ``count_words``), and ``counts`` with ``top``: whether a word is a symbol."""
     top = counts.orderBy(F.desc("c"), "k").limit(size - 2).collect()
-    return Vocabulary.of([(r["k"], r["c"]) for r in top], total, size)
+    rest = np.zeros(classes)
+    for r in counts.groupBy("g").agg(F.sum("c").alias("c")).collect():
+        rest[r["g"]] = r["c"]
+    for r in top:
+        rest[r["g"]] -= r["c"]
+    # At most ``size`` rows.
+    known = counts.sparkSession.createDataFrame([(r["k"], True) for r in top], "k long, top boolean")
+    marked = counts.join(F.broadcast(known), "k", "left").withColumn("top", F.col("top").isNotNull())
+    return Vocabulary.of([(r["k"], r["c"]) for r in top], rest, size), marked
+
+
+EDGE = 256
+
+
+class Spelling:
+    """Probabilities of words by their bytes, from the last to the first and an edge, each
+    given the two after it; interpolated with those given one and none."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, draw: float = 4.0):
+        """``keys``: a byte, and the two after it, as digits to the base 257; the byte is the lowest."""
+        n = EDGE + 1
+        order = np.argsort(keys)
+        self.draw, self.keys, self.counts = draw, keys[order], counts[order].astype(float)
+        x, one = self.keys % n, self.keys // n % n
+        base = np.zeros(n)
+        base[:256][_tables()[0] == WORD] = 1.0
+        base[65:91] = 0.0  # folded
+        base[EDGE] = 1.0
+        base /= base.sum()
+        alone = np.bincount(x, self.counts, n)
+        alone = (alone + draw * base) / (alone.sum() + draw)
+        pair = np.bincount(one * n + x, self.counts, n * n).reshape(n, n)
+        self.pair = (pair + draw * alone) / (pair.sum(axis=1, keepdims=True) + draw)
+        self.total = np.bincount(self.keys // n, self.counts, n * n)
+
+    def log_probs(self, keys: np.ndarray) -> np.ndarray:
+        n = EDGE + 1
+        c = np.zeros(len(keys))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            c = np.where(self.keys[at] == keys, self.counts[at], 0.0)
+        before = keys // n
+        with np.errstate(divide="ignore"):  # bytes that no word has
+            return np.log((c + self.draw * self.pair[before % n, keys % n]) / (self.total[before] + self.draw))
+
+    def class_mass(self, classes: int) -> np.ndarray:
+        """The probability of all words of each class: of the pairs of last bytes that it has."""
+        last = np.repeat(np.arange(256), 257)
+        before = np.tile(np.arange(257), 256)
+        n = EDGE + 1
+        p = np.exp(self.log_probs(last + n * EDGE + n * n * EDGE) + self.log_probs(before + n * last + n * n * EDGE))
+        one = before == EDGE
+        g = (mix(last.astype(U) | (np.where(one, 0, before).astype(U) << U(8))) % U(classes)).astype(np.int64)
+        return np.bincount(g, p, classes)
+
+
+def spelling_keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of every byte of ``words`` and of their edges, and the word of each."""
+    n = EDGE + 1
+    words = words.cast(pa.large_binary())
+    offs = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    size = np.diff(offs)
+    # Of each word: an edge, its bytes, and two edges.
+    row = np.repeat(np.arange(len(size)), size + 3)
+    x = np.full(len(row), EDGE, np.int64)
+    first = np.cumsum(size + 3) - (size + 3)
+    x[np.repeat(first + 1 - (offs[:-1] - offs[0]), size) + np.arange(len(data))] = data
+    real = np.ones(len(x), bool)
+    real[first + size + 1] = real[first + size + 2] = False
+    at = np.flatnonzero(real)
+    return x[at] + n * x[at + 1] + n * n * x[at + 2], row[at]
+
+
+def word_probs(marked: DataFrame, classes: int = CLASSES, least: int = LEAST) -> DataFrame:
+    """(k, lp): the log probability in its class of each word of ``marked`` (by ``symbols_of``) that is no symbol."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 20_000):
+                b = whole.slice(i, 20_000)
+                key, row = spelling_keys(b.column("w"))
+                k, at = np.unique(key, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(at, b.column("c").to_numpy()[row], len(k)))], ["x", "n"])
+
+    rare = marked.filter((~F.col("top")) & (F.col("c") < least))
+    # As many rows as triples of bytes that words have.
+    grams = rare.select("w", "c").mapInArrow(keyed, "x long, n double").groupBy("x").agg(F.sum("n").alias("n")).toArrow()
+    spelling = Spelling(grams.column("x").to_numpy().astype(np.int64), grams.column("n").to_numpy())
+    held = marked.sparkSession.sparkContext.broadcast(spelling)
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 20_000):
+                b = whole.slice(i, 20_000)
+                key, row = spelling_keys(b.column("w"))
+                lp = np.bincount(row, held.value.log_probs(key), b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("k", "g", "c", "top")] + [pa.array(lp)], ["k", "g", "c", "top", "s"])
+
+    words = written(marked.select("k", "w", "g", "c", "top").mapInArrow(spelt, "k long, g int, c long, top boolean, s double"), "spelt")
+    common = F.col("top") | (F.col("c") >= least)
+    of = {
+        r["g"]: r
+        for r in words.groupBy("g")
+        .agg(F.sum(F.when(~F.col("top"), F.col("c"))).alias("n"), F.sum(F.when(~common, F.col("c"))).alias("r"), F.sum(F.when(common, F.exp("s"))).alias("m"))
+        .collect()
+    }
+    mass = spelling.class_mass(classes)
+    table = []
+    for g, r in of.items():
+        # One occurrence more stands for all words never seen.
+        total, rest = (r["n"] or 0) + 1, (r["r"] or 0) + 1
+        table.append((g, float(np.log(total)), float(np.log(rest) - np.log(total) - np.log(max(mass[g] - (r["m"] or 0.0), 1e-300)))))
+    by_class = marked.sparkSession.createDataFrame(table, "g int, total double, rest double")
+    lp = F.when(F.col("c") >= least, F.log(F.col("c").cast("double")) - F.col("total")).otherwise(F.col("s") + F.col("rest"))
+    return words.filter(~F.col("top")).join(F.broadcast(by_class), "g").select("k", lp.alias("lp"))
 
 
 def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,21 +437,34 @@ def train(docs: DataFrame, vocab: Vocabulary, dims: int = DIMS, noise: int = NOI
     return start if row is None else start.like(np.frombuffer(row["p"], np.float32))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = VOCABULARY, dims: int = DIMS, noise: int = NOISE, rate: float = RATE) -> DataFrame:
+def score(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    vocabulary_size: int = VOCABULARY,
+    dims: int = DIMS,
+    noise: int = NOISE,
+    rate: float = RATE,
+    classes: int = CLASSES,
+    least: int = LEAST,
+) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row under a model of all rows.
 
-    * log_prob is the sum of the words' natural log probabilities; words beyond the
-      vocabulary are one word. perplexity is exp(-log_prob / n_tokens).
+    * log_prob is the sum of the words' natural log probabilities, of each word itself:
+      words that aren't symbols have their class's by the context times their own in
+      the class. perplexity is exp(-log_prob / n_tokens).
     * A null text has nulls. A text without words has 0, 0.0 and a null perplexity.
     * Repeated rows and ids are scored row by row, and count as often as they occur.
     * A text of any length is scored whole. Other columns are not read. An empty table
       gives no rows.
 
-    Vocabulary and parameters have a fixed size, so what is broadcast doesn't grow.
+    Symbols and parameters have a fixed size, so what is broadcast doesn't grow; the
+    vocabulary does, and is joined.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     texts = slim.select("t").filter("t is not null")
-    vocab = vocabulary(texts, vocabulary_size)
+    vocab, marked = symbols_of(written(count_words(texts, classes), "words"), vocabulary_size, classes)
+    words = word_probs(marked, classes, least)
     held = docs.sparkSession.sparkContext.broadcast((vocab, train(texts, vocab, dims, noise, rate)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,14 +472,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         scorer = Scorer(p)
         for whole in batches:
             for b in pieces(whole, "t"):
-                x, before, row = v.stream(b.column("t"))
+                w = tokens(b.column("t"))
+                x, before, row = v.stream_of(b.column("t"), w)
                 lp = scorer.log_probs(x, before) if len(x) else np.zeros(0)
                 n = np.bincount(row, minlength=b.num_rows)
                 total = np.bincount(row, lp, b.num_rows)
                 null = np.asarray(b.column("t").is_null())
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    ppl = np.exp(-total / n)
-                cols = [pa.array(n, pa.int64(), mask=null), pa.array(total, pa.float64(), mask=null), pa.array(ppl, pa.float64(), mask=null | (n == 0))]
-                yield pa.RecordBatch.from_arrays([b.column("d"), *cols], ["doc_id", "n_tokens", "log_prob", "perplexity"])
-
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, perplexity double")
+                rest = np.flatnonzero((x == OTHER) | (x >= v.size))
+                k, r = w.hash[rest].view(np.int64), row[rest]
+                order = np.lexsort((k, r))
+                k, r = k[order], r[order]
+                first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))) if len(k) else np.zeros(0, np.int64)
+                pairs = pa.StructArray.from_arrays([pa.array(k[first]), pa.array(np.diff(np.append(first, len(k))).astype(np.int32))], ["k", "c"])
+                offs = np.concatenate(([0], np.cumsum(np.bincount(r[first], minlength=b.num_rows)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(n, pa.int64(), mask=null), pa.array(total, pa.float64(), mask=null), pa.ListArray.from_arrays(pa.array(offs), pairs)], ["d", "n", "lp", "rest"])
+
+    rows = slim.mapInArrow(run, "d long, n long, lp double, rest array<struct<k:long,c:int>>").withColumn("r", F.monotonically_increasing_id())
+    rows = written(rows, "symbols")
+    pairs = rows.select("r", F.explode("rest").alias("x")).select("r", "x.k", "x.c")
+    own = pairs.join(words, "k").groupBy("r").agg(F.sum(F.col("c") * F.col("lp")).alias("own"))
+    total = F.col("lp") + F.coalesce("own", F.lit(0.0))
+    out = rows.select("d", "n", "lp", "r").join(own, "r", "left").select(F.col("d").alias("doc_id"), F.col("n").alias("n_tokens"), total.alias("log_prob"))
+    return out.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))

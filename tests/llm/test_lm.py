@@ -58,3 +58,41 @@ def test_odd_rows(odd_docs):
 
 def test_empty(docs_of):
     assert lm.score(docs_of([])).count() == 0
+
+
+def test_rare_words_have_probabilities_of_their_own(spark):
+    rows = [(1, "the cat " * 200 + "zebra " * 20 + "quagga"), (2, "zebra zebra"), (3, "quagga quagga"), (4, "xqjzkvw xqjzkvw"), (5, "the cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in lm.score(docs, vocabulary_size=4, classes=1).collect()}
+    # All but "the" and "cat" is beyond the symbols: one word of one probability, once.
+    assert got[5] > got[2] > got[3] + 1 > got[4] + 2
+
+
+def test_words_of_a_class_share_one(spark):
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(400)]
+    docs = spark.createDataFrame([(" ".join(made[:200]),), (" ".join(made[200:]),)], "t string")
+    vocab, marked = lm.symbols_of(lm.count_words(docs, 3), 6, 3)
+    rows = {r["k"]: r for r in marked.collect()}
+    assert sum(r["top"] for r in rows.values()) == 4 and sum(r["c"] for r in rows.values()) == 400
+    assert np.isclose(vocab.share.sum(), 1) and len(vocab.share) == 8
+    lp = {r["k"]: r["lp"] for r in lm.word_probs(marked, 3, 5).collect()}
+    assert set(lp) == {k for k, r in rows.items() if not r["top"]}
+    # Words of the vocabulary have their counts' shares; with the words of the class that were never seen, all make 1.
+    for g in range(3):
+        own = [r for k, r in rows.items() if r["g"] == g and k in lp]
+        n = sum(r["c"] for r in own) + 1
+        assert all(np.isclose(lp[r["k"]], np.log(r["c"] / n)) for r in own if r["c"] >= 5)
+        assert sum(np.exp(lp[r["k"]]) for r in own) < 1
+
+
+def test_spellings_are_normalised():
+    words = pa.array([b"ab", b"ba", b"aab", b"b", "é".encode()])
+    key, _ = lm.spelling_keys(words)
+    k, c = np.unique(key, return_counts=True)
+    s = lm.Spelling(k, c)
+    n = lm.EDGE + 1
+    for context in (n * lm.EDGE + n * n * lm.EDGE, n * 97 + n * n * 98, n * 120 + n * n * 121):
+        assert np.isclose(np.nansum(np.exp(np.where(s.pair[context // n % n] > 0, s.log_probs(np.arange(n) + context), -np.inf))), 1)
+    empty = np.exp(s.log_probs(np.array([lm.EDGE * (1 + n + n * n)])))[0]
+    assert np.isclose(s.class_mass(7).sum(), 1 - empty)
