@@ -23,8 +23,9 @@ CURVES = 12
 DIMS, BITS = 8, 6
 WINDOW = 2048
 SEED = 20
-#: Rows of a similarity matrix made at once.
+#: Rows, and elements, of a similarity matrix made at once.
 CHUNK = 1024
+ELEMENTS = 1 << 22
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,20 +76,34 @@ def matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
 
 
+def units(col: pa.Array) -> np.ndarray:
+    """Vectors of unit length in doubles, from what floats have left of them."""
+    m = matrix(col)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def best(ids: np.ndarray, rows: np.ndarray, others: np.ndarray, other_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For chunks of rows: ids, the k best others of another place, and exact similarities."""
     a, b = rows.astype(np.float32), others.astype(np.float32)
-    for i in range(0, len(a), CHUNK):
-        sim = a[i : i + CHUNK] @ b.T
-        sim[ids[i : i + CHUNK, None] == other_ids[None, :]] = -np.inf
-        # Some more than k, so that equal float32 values at the border are rarely lost.
-        take = min(k + 4, len(b))
-        near = np.argpartition(-sim, take - 1, axis=1)[:, :take] if take < len(b) else np.tile(np.arange(len(b)), (len(sim), 1))
-        exact = (rows[i : i + CHUNK, None, :] * others[near]).sum(axis=2)
-        own = ids[i : i + CHUNK, None] == other_ids[near]
-        exact[own] = -np.inf
-        order = np.lexsort((other_ids[near], -exact), axis=1)[:, :k]
-        yield ids[i : i + CHUNK], np.take_along_axis(other_ids[near], order, 1), np.take_along_axis(exact, order, 1)
+    chunk = max(1, min(CHUNK, ELEMENTS // max(1, len(b))))
+    for i in range(0, len(a), chunk):
+        sim = a[i : i + chunk] @ b.T
+        sim[ids[i : i + chunk, None] == other_ids[None, :]] = -np.inf
+        # Whatever may be among the k best by exact similarity, however many that is; 1e-5 is
+        # more than float32 can be wrong by at these lengths.
+        take = min(k, len(b))
+        least = np.partition(sim, len(b) - take, axis=1)[:, len(b) - take] - np.float32(max(1e-5, 2e-7 * a.shape[1]))
+        at, near = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+        exact = np.concatenate([np.zeros(0)] + [(rows[i + at[c : c + 65_536]] * others[near[c : c + 65_536]]).sum(axis=1) for c in range(0, len(at), 65_536)])
+        exact = np.minimum(exact, 1.0)
+        order = np.lexsort((other_ids[near], -exact, at))
+        at, near, exact = at[order], near[order], exact[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        ok = place < k
+        found_ids = np.zeros((len(sim), k), np.int64)
+        found = np.full((len(sim), k), -np.inf)
+        found_ids[at[ok], place[ok]], found[at[ok], place[ok]] = other_ids[near[ok]], exact[ok]
+        yield ids[i : i + chunk], found_ids, found
 
 
 def unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -103,6 +118,23 @@ def unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select("d", F.transform("x.v", lambda e: (e / F.col("x.l")).cast("float")).alias("u"))
 
 
+def with_twins(merged: DataFrame, twins: DataFrame, k: int) -> DataFrame:
+    """(d, near) of every id, from those of the least ids of equal vectors. ``twins``: (u, all)."""
+    many = twins.filter(F.size("all") > 1)
+    if many.isEmpty():
+        return merged
+    # A row needs no more than k ids of a vector, and itself.
+    least = many.select(F.col("all")[0].alias("j"), F.slice("all", 1, k + 1).alias("ids"))
+    each = merged.select("d", F.explode("near").alias("x")).select("d", "x.s", "x.j").join(least, "j", "left")
+    each = each.select("d", "s", F.explode(F.coalesce("ids", F.array("j"))).alias("j"))
+    far = each.groupBy("d").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "j"))), 1, k).alias("far"))
+    own = twins.select(F.col("all")[0].alias("rep"), F.slice("all", 1, k + 1).alias("ids"), F.explode("all").alias("d"))
+    own = own.select("rep", "d", F.transform(F.filter("ids", lambda i: i != F.col("d")), lambda i: F.struct(F.lit(-1.0).alias("s"), i.alias("j"))).alias("own"))
+    both = own.join(far.withColumnRenamed("d", "rep"), "rep", "left")
+    empty = F.array().cast("array<struct<s:double,j:bigint>>")
+    return both.select("d", F.slice(F.sort_array(F.concat("own", F.coalesce("far", empty))), 1, k).alias("near"))
+
+
 def nearest(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -120,14 +152,17 @@ def nearest(
       NaN or infinite element, and rows with a null id are left out. (Of lengths that
       are equally frequent the larger counts.)
     * Repeated rows are one vector; of an id's several vectors the least is taken.
-    * Equal similarities are ordered by id. Fewer than k others give fewer rows.
+    * Equal similarities are ordered by id, and of equal vectors, however many, the
+      least ids count. Fewer than k others give fewer rows.
     * Up to two windows of rows are compared in full, so the result is then exact.
     * Other columns are not read. An empty table, or one vector, gives no rows.
     """
     rows = written(unit_rows(vectors, id_col, vec_col), "unit")
     sizes = rows.groupBy(F.size("u").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     length = sizes["n"] if sizes else 0
-    rows = rows.filter(F.size("u") == length)
+    # Equal vectors are searched once, by the least id; all their ids stay with it.
+    twins = written(rows.filter(F.size("u") == length).groupBy("u").agg(F.sort_array(F.collect_list("d")).alias("all")), "twins")
+    rows = twins.select(F.col("all")[0].alias("d"), "u")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,13 +182,15 @@ def nearest(
     starts = starts.withColumn("before", F.expr("coalesce(sum(n) over (partition by c order by p rows between unbounded preceding and 1 preceding), 0)"))
     ranked = ordered.withColumn("p", part).join(starts.select("c", "p", "first", "before"), ["c", "p"])
     blocks = ranked.select("c", "d", "u", F.floor((F.col("m") - F.col("first") + F.col("before")) / F.lit(window)).alias("b"))
-    # A window and the next one are compared in the group of the first.
-    pairs = blocks.select("c", "d", "u", "b", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("g"))
+    blocks = written(blocks, "blocks")
+    reach = 1
+    # A window and those that follow within reach are compared in the group of the first.
+    pairs = blocks.select("c", "d", "u", "b", F.explode(F.array(*(F.col("b") - n for n in range(reach + 1)))).alias("g"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         ids, b, g = (t.column(x).to_numpy() for x in ("d", "b", "g"))
-        unit = matrix(t.column("u").combine_chunks())
+        unit = units(t.column("u").combine_chunks())
         mine = b == g
         both = ((mine, mine | ~mine), (~mine, mine))
         for rows_, others in both:
@@ -167,5 +204,6 @@ def nearest(
 
     near = pairs.groupBy("c", "g").applyInArrow(compare, "d long, near array<struct<s:double,j:long>>")
     merged = near.groupBy("d").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    merged = with_twins(merged, twins, k)
     out = merged.select("d", F.posexplode("near").alias("i", "x"))
     return out.select(F.col("d").alias("vec_id"), F.col("x.j").alias("neighbour_id"), (F.col("i") + 1).alias("rank"), (-F.col("x.s")).alias("similarity"))

@@ -172,3 +172,22 @@ def test_small_tables_are_exact_and_odd_rows_left_out(spark):
     assert all(np.allclose([x for _, _, x in sorted(v)], want[60 if k == 106 else k], atol=1e-6) for k, v in got.items())
     assert sorted(got[4])[0][1] == 106 and abs(sorted(got[4])[0][2] - 1) < 1e-9
     assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.filter("vec_id = 1")).count() == 0
+
+
+def test_equal_vectors_give_the_least_ids(spark):
+    rng = np.random.default_rng(6)
+    one = [float(x) for x in rng.normal(size=8)]
+    rows = [(k, one, 0) for k in range(100, 150)] + [(k, [float(x) for x in rng.normal(size=8)], 0) for k in range(20)]
+    rng.shuffle(rows)
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame([(int(k), v, 0) for k, v, _ in rows], VECS), k=5).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = r.neighbour_id
+    assert all([got[k][n] for n in range(1, 6)] == [x for x in range(100, 106) if x != k][:5] for k in range(100, 150))
+    assert len(got) == 70 and all(len(g) == 5 for g in got.values())
+
+
+def test_tied_similarities_at_the_border_are_ordered_by_id():
+    others = np.array([[0.6, 0.8], [0.6, -0.8]] * 30)
+    ids = np.random.default_rng(7).permutation(60)
+    ((_, found, _),) = neighbours.best(np.array([99]), np.array([[1.0, 0.0]]), others, ids, 10)
+    assert found[0].tolist() == list(range(10))
