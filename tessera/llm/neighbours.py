@@ -3,8 +3,10 @@
 Each curve projects the unit vectors onto DIMS random orthogonal directions, shifts
 them by a random offset, and orders them by the Hilbert key of their cells. Spark
 range-partitions the rows by curve and key; their ranks are cut into windows of
-WINDOW rows, and every row is compared with its own window and both adjacent ones.
-The curves' candidates are merged and ranked by their exact similarity.
+WINDOW rows, and every row is compared with its own window and REACH windows on either
+side. REACH follows from the data: of a sample of rows the true neighbours are found by
+comparison with all rows, and as many windows are taken as bring TARGET of them within
+reach on some curve. The curves' candidates are merged and ranked by exact similarity.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ CURVES = 12
 DIMS, BITS = 8, 6
 WINDOW = 2048
 SEED = 20
+#: Rows whose true neighbours are looked up, and the part of these that must be in reach.
+PROBES = 256
+TARGET = 0.95
 #: Rows, and elements, of a similarity matrix made at once.
 CHUNK = 1024
 ELEMENTS = 1 << 22
@@ -118,6 +123,34 @@ def unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select("d", F.transform("x.v", lambda e: (e / F.col("x.l")).cast("float")).alias("u"))
 
 
+def needed_reach(rows: DataFrame, blocks: DataFrame, k: int, probes: int = PROBES, target: float = TARGET) -> int:
+    """How many windows on either side bring ``target`` of the true neighbours of a sample of ``rows`` in reach."""
+    sample = rows.orderBy(F.xxhash64("d", F.lit(SEED)), "d").limit(probes).toArrow()
+    if not sample.num_rows or blocks.filter("b > 1").isEmpty():
+        return 1
+    ids, unit = sample.column("d").to_numpy(), units(sample.column("u").combine_chunks())
+    held = rows.sparkSession.sparkContext.broadcast((ids, unit))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, v = held.value
+        for b in batches:
+            for i in range(0, b.num_rows, 8192):
+                part = b.slice(i, 8192)
+                for d, j, s in best(q, v, units(part.column("u")), part.column("d").to_numpy(), k):
+                    ok = s > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d, ok.sum(axis=1))), pa.array(j[ok]), pa.array(s[ok])], ["d", "j", "s"])
+
+    found = rows.mapInArrow(near, "d long, j long, s double").withColumn("n", F.expr("row_number() over (partition by d order by s desc, j)")).filter(F.col("n") <= k)
+    true = written(found.select("d", "j"), "true")
+    places = blocks.select("c", "d", "b")
+    # The sample's rows are few: PROBES, and K times as many neighbours.
+    mine = places.join(F.broadcast(true), "d").select("c", "d", "j", F.col("b").alias("a"))
+    both = mine.join(places.select("c", F.col("d").alias("j"), "b"), ["c", "j"])
+    apart = both.groupBy("d", "j").agg(F.min(F.abs(F.col("a") - F.col("b"))).alias("x"))
+    x = np.sort(apart.toArrow().column("x").to_numpy())
+    return max(1, int(x[min(len(x) - 1, int(np.ceil(target * len(x))))])) if len(x) else 1
+
+
 def with_twins(merged: DataFrame, twins: DataFrame, k: int) -> DataFrame:
     """(d, near) of every id, from those of the least ids of equal vectors. ``twins``: (u, all)."""
     many = twins.filter(F.size("all") > 1)
@@ -183,7 +216,7 @@ def nearest(
     ranked = ordered.withColumn("p", part).join(starts.select("c", "p", "first", "before"), ["c", "p"])
     blocks = ranked.select("c", "d", "u", F.floor((F.col("m") - F.col("first") + F.col("before")) / F.lit(window)).alias("b"))
     blocks = written(blocks, "blocks")
-    reach = 1
+    reach = needed_reach(rows, blocks, k)
     # A window and those that follow within reach are compared in the group of the first.
     pairs = blocks.select("c", "d", "u", "b", F.explode(F.array(*(F.col("b") - n for n in range(reach + 1)))).alias("g"))
 

@@ -191,3 +191,14 @@ def test_tied_similarities_at_the_border_are_ordered_by_id():
     ids = np.random.default_rng(7).permutation(60)
     ((_, found, _),) = neighbours.best(np.array([99]), np.array([[1.0, 0.0]]), others, ids, 10)
     assert found[0].tolist() == list(range(10))
+
+
+def test_reach_grows_until_recall_holds(spark):
+    rng = np.random.default_rng(8)
+    e = rng.normal(size=(6000, 24))
+    df = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(e)], VECS)
+    got = {}
+    for r in neighbours.nearest(df, window=64).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    want = exact(e, 10)
+    assert np.mean([len(got[k] & want[k]) / 10 for k in range(len(e))]) >= 0.9
