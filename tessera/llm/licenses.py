@@ -140,36 +140,49 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def best_alignment(template: list, text: list, least: int, stretch: float = STRETCH) -> list[tuple[int, int]]:
-    """The alignment of ``template`` with the stretch of ``text`` that covers most of it,
-    the first of equals, if it aligns ``least`` words at all. Stretches of
-    ``stretch`` times the template's length are tried where enough of its words stand."""
+def alignments(template: list, text: list, least: int, first: int = 0, end: int | None = None, stretch: float = STRETCH) -> list[list[tuple[int, int]]]:
+    """Alignments of ``template`` with stretches of ``text`` from ``first`` to ``end`` that don't
+    overlap, in order: of overlapping ones that which covers most, the first of equals, if
+    ``least`` words are aligned at all. Stretches of ``stretch`` times the template's length
+    are tried where enough of its words stand."""
     have = set(template)
-    places = [k for k, x in enumerate(text) if x in have]
+    end = len(text) if end is None else end
+    places = [k for k in range(first, end) if text[k] in have]
     window = ceil(len(template) * stretch)
-    best: list[tuple[int, int]] = []
     need = Counter(template)
-    lo = 0
-    inside: Counter = Counter()
-    common = 0
-    for hi, p in enumerate(places):
-        x = text[p]
-        inside[x] += 1
-        common += inside[x] <= need[x]
-        while p - places[lo] >= window:
-            y = text[places[lo]]
-            common -= inside[y] <= need[y]
-            inside[y] -= 1
-            lo += 1
-        # ``common`` bounds what this stretch can align.
-        if common >= least and common > len(best):
-            begin = places[lo]
-            found = patience(template, text[begin : p + 1])
-            if len(found) > len(best) and len(found) >= least:
-                best = [(i, begin + j) for i, j in found]
-                if len(best) == len(template):
-                    break
-    return best
+    out: list[list[tuple[int, int]]] = []
+    begin = 0
+    while begin < len(places):
+        best: list[tuple[int, int]] = []
+        inside: Counter = Counter()
+        lo, common = begin, 0
+        for hi in range(begin, len(places)):
+            p = places[hi]
+            x = text[p]
+            inside[x] += 1
+            common += inside[x] <= need[x]
+            while p - places[lo] >= window:
+                y = text[places[lo]]
+                common -= inside[y] <= need[y]
+                inside[y] -= 1
+                lo += 1
+            if best and places[lo] > best[-1][1]:
+                break
+            # ``common`` bounds what this stretch can align.
+            if common >= least and common > len(best):
+                found = [(i, places[lo] + j) for i, j in patience(template, text[places[lo] : p + 1])]
+                if len(found) > len(best) and len(found) >= least:
+                    if best and found[0][1] > best[-1][1]:
+                        out.append(best)
+                    best = found
+                    if len(best) == len(template):
+                        break
+        if not best:
+            break
+        out.append(best)
+        # All that follows is tried anew, without the words of this stretch.
+        begin = bisect_left(places, best[-1][1] + 1)
+    return out
 
 
 class Scanner:
@@ -203,32 +216,57 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.keys, w.hash), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[at] == w.hash)
         pairs = {(int(r), k) for r, a in {(r, a) for r, a in zip(w.row[hit].tolist(), at[hit].tolist(), strict=True)} for k in self.of[a]}
-        first, out, row_words = w.firsts(), [], {}
+        first, out = w.firsts(), []
         by_row: dict[int, list] = {}
         for r, k in sorted(pairs):
-            if r not in row_words:
-                row_words = {r: w.hash[first[r] : first[r + 1]].tolist()}
-            found = best_alignment(self.words[k], row_words[r], self.least[k])
-            if found:
-                js = [j for _, j in found]
-                by_row.setdefault(r, []).append((r, self.names[k], len(found), len(self.words[k]), int(w.start[first[r] + min(js)]), int(w.end[first[r] + max(js)])))
-        for r in sorted(by_row):
-            taken: list[tuple[int, int]] = []
-            # Of templates that align with overlapping stretches the best is meant.
-            for x in sorted(by_row[r], key=lambda x: (-x[2] / x[3], -x[2], x[1])):
-                if all(x[5] <= s or e <= x[4] for s, e in taken):
-                    taken.append(x[4:6])
-                    out.append(x)
+            by_row.setdefault(r, []).append(k)
+        for r, ks in sorted(by_row.items()):
+            text = w.hash[first[r] : first[r + 1]].tolist()
+            best: dict[int, tuple] = {}
+            for cover, size, k, js in self.resolved(text, ks):
+                if k not in best or (-cover, js[0]) < (-best[k][0], best[k][2][0]):
+                    best[k] = (cover, size, js)
+            for k, (_, size, js) in best.items():
+                out.append((r, self.names[k], size, len(self.words[k]), int(w.start[first[r] + js[0]]), int(w.end[first[r] + js[1]])))
         return out
 
+    def resolved(self, text: list, ks: list[int]) -> list[tuple[float, int, int, tuple[int, int]]]:
+        """(coverage, aligned words, template, (first word, last word)) of stretches that don't
+        overlap. Of overlapping ones the best is meant; a template that loses one is tried
+        again in what is left between those taken."""
+        taken: list[tuple[float, int, int, tuple[int, int]]] = []
+        free = [(0, len(text))]
+        while ks:
+            found = []
+            for k in ks:
+                for a, b in free:
+                    if b - a >= self.least[k]:
+                        for x in alignments(self.words[k], text, self.least[k], a, b):
+                            found.append((len(x) / len(self.words[k]), len(x), k, (x[0][1], x[-1][1])))
+            lost: set[int] = set()
+            # Spans taken, in order; none overlap.
+            spans = sorted(x[3] for x in taken)
+            for x in sorted(found, key=lambda x: (-x[0], -x[1], self.names[x[2]], x[3])):
+                a, b = x[3]
+                at = bisect_left(spans, (a, a))
+                if (at and spans[at - 1][1] >= a) or (at < len(spans) and spans[at][0] <= b):
+                    lost.add(x[2])
+                else:
+                    spans.insert(at, x[3])
+                    taken.append(x)
+            ks = sorted(lost)
+            edges = [-1, *(e for s in spans for e in s), len(text)]
+            free = [(edges[n] + 1, edges[n + 1]) for n in range(0, len(edges), 2)]
+        return taken
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, span_start, span_end): each template of which a text
     aligns at least ``coverage``, by its best stretch; places count characters from 0.
 
-    * Case, punctuation and spacing are ignored. A text may match several templates;
-      of those whose stretches overlap, the one of the highest coverage (then with more
-      words, then the first by name) is given.
+    * Case, punctuation and spacing are ignored. A text may match several templates, each
+      in several stretches; of stretches that overlap, that of the highest coverage (then
+      with more words, then of the first template by name) counts.
     * A license repeated in a text gives one row, for the first of the best stretches.
     * Null and empty texts match nothing. Repeated rows and ids each give their own
       rows; a null id stays null. Long texts are scanned whole.

@@ -67,3 +67,10 @@ def test_odd_rows_and_empty(odd_docs, docs_of):
     assert scan(odd_docs.selectExpr("*", "1 as license", "2 as t")).count() == 0
     assert scan(docs_of([])).count() == 0
     assert scan(docs_of([(None, "All rights reserved."), (2, "All rights reserved."), (2, "All rights reserved.")])).count() == 3
+
+
+def test_a_later_license_is_found_after_one_that_contains_it(docs_of):
+    sa, by, nc = (f"Licensed under CC {x} 4.0" for x in ("BY-SA", "BY", "BY-NC"))
+    text = f"{sa}\nsome words between\n{by}\nand more of them\n{nc}"
+    got = {r.license: text[r.span_start : r.span_end] for r in scan(docs_of([(1, text)])).collect()}
+    assert got == {"CC-BY-SA-4.0": sa, "CC-BY-4.0": by, "CC-BY-NC-4.0": nc}
