@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import U, pieces, tokens
+from tessera.llm.words import U, pieces, tokens, word_hash
 
 COVERAGE = 0.8
+#: A template of at most so many words must have all of them but those of FRAME aligned:
+#: the others are what tells its license (name, kind, version) from another one.
+FEW = 13
+FRAME = "a an and are in into is of the this to under version work v 0 distributed general international license licensed public released software"
 #: An aligned stretch may be this many times as long as the template.
 STRETCH = 1.5
 
@@ -140,11 +144,12 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def alignments(template: list, text: list, least: int, first: int = 0, end: int | None = None, stretch: float = STRETCH) -> list[list[tuple[int, int]]]:
+def alignments(template: list, text: list, least: int, first: int = 0, end: int | None = None, telling: frozenset = frozenset(), stretch: float = STRETCH) -> list[list[tuple[int, int]]]:
     """Alignments of ``template`` with stretches of ``text`` from ``first`` to ``end`` that don't
     overlap, in order: of overlapping ones that which covers most, the first of equals, if
-    ``least`` words are aligned at all. Stretches of ``stretch`` times the template's length
-    are tried where enough of its words stand."""
+    ``least`` words are aligned at all, those at the places ``telling`` of the template among
+    them. Stretches of ``stretch`` times the template's length are tried where enough of its
+    words stand."""
     have = set(template)
     end = len(text) if end is None else end
     places = [k for k in range(first, end) if text[k] in have]
@@ -171,7 +176,7 @@ def alignments(template: list, text: list, least: int, first: int = 0, end: int
             # ``common`` bounds what this stretch can align.
             if common >= least and common > len(best):
                 found = [(i, places[lo] + j) for i, j in patience(template, text[places[lo] : p + 1])]
-                if len(found) > len(best) and len(found) >= least:
+                if len(found) > len(best) and len(found) >= least and telling <= {i for i, _ in found}:
                     if best and found[0][1] > best[-1][1]:
                         out.append(best)
                     best = found
@@ -193,6 +198,8 @@ class Scanner:
         w = tokens(pa.array([templates[n] for n in self.names], pa.string()))
         first = w.firsts()
         self.words = [w.hash[first[k] : first[k + 1]].tolist() for k in range(len(self.names))]
+        frame = set(word_hash(FRAME).tolist())
+        self.telling = [frozenset(i for i, h in enumerate(x) if h not in frame) if len(x) <= FEW else frozenset() for x in self.words]
         size = (w.end - w.start).tolist()
         self.least = [max(1, ceil(coverage * len(x) - 1e-9)) for x in self.words]
         keys: dict[int, set[int]] = {}
@@ -241,7 +248,7 @@ class Scanner:
             for k in ks:
                 for a, b in free:
                     if b - a >= self.least[k]:
-                        for x in alignments(self.words[k], text, self.least[k], a, b):
+                        for x in alignments(self.words[k], text, self.least[k], a, b, self.telling[k]):
                             found.append((len(x) / len(self.words[k]), len(x), k, (x[0][1], x[-1][1])))
             lost: set[int] = set()
             # Spans taken, in order; none overlap.
@@ -267,6 +274,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     * Case, punctuation and spacing are ignored. A text may match several templates, each
       in several stretches; of stretches that overlap, that of the highest coverage (then
       with more words, then of the first template by name) counts.
+    * A template of few words must have its license's name, kind and version aligned.
     * A license repeated in a text gives one row, for the first of the best stretches.
     * Null and empty texts match nothing. Repeated rows and ids each give their own
       rows; a null id stays null. Long texts are scanned whole.

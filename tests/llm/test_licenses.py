@@ -74,3 +74,10 @@ def test_a_later_license_is_found_after_one_that_contains_it(docs_of):
     text = f"{sa}\nsome words between\n{by}\nand more of them\n{nc}"
     got = {r.license: text[r.span_start : r.span_end] for r in scan(docs_of([(1, text)])).collect()}
     assert got == {"CC-BY-SA-4.0": sa, "CC-BY-4.0": by, "CC-BY-NC-4.0": nc}
+
+
+def test_near_misses_are_no_other_license(docs_of):
+    near = ["released under the same license", "Released under the Apache License", "Licensed under the same License", "Licensed under CC BY 3.0", "Licensed under CC 4.0", "This work is licensed under the GNU General Public License, version 1"]
+    good = [(100, "Licensed under the Apache License, Version 2", "Apache-2.0"), (101, "Released under an MIT License", "MIT")]
+    got = {(r.doc_id, r.license) for r in scan(docs_of([*enumerate(near), *((k, t) for k, t, _ in good)])).collect()}
+    assert got == {(k, n) for k, _, n in good}
