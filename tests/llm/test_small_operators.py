@@ -146,7 +146,7 @@ def test_recall_against_brute_force(spark):
     e = rng.normal(size=(3000, 24))
     df = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(e)], VECS)
     got = {}
-    for r in neighbours.nearest(df, k=10, window=256, curves=16).collect():
+    for r in neighbours.nearest(df, k=10, every=1, part_rows=700).collect():
         got.setdefault(r.vec_id, {})[r.rank] = (r.neighbour_id, r.similarity)
     want = exact(e, 10)
     assert np.mean([len({j for j, _ in got[k].values()} & want[k]) / 10 for k in range(len(e))]) >= 0.9
@@ -160,7 +160,7 @@ def test_small_tables_are_exact_and_odd_rows_left_out(spark):
     odd = [(100, None, None), (None, [1.0] * 6, 1), (101, [0.0] * 6, 1), (102, [1.0, 2.0], 1), (103, [None] + [1.0] * 5, 1), (104, [float("nan")] * 6, 1), (105, [], 1), good[3], (106, good[4][1], 1)]
     df = spark.createDataFrame(good + odd, VECS).selectExpr("*", "1 as d", "2 as u", "3 as c", "4 as near")
     got = {}
-    for r in neighbours.nearest(df, k=5).collect():
+    for r in neighbours.nearest(df, k=5, every=1).collect():
         got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id, r.similarity))
     # Of equal vectors either may be in another's list, so similarities are compared.
     u = np.vstack((e, e[4]))
@@ -171,7 +171,7 @@ def test_small_tables_are_exact_and_odd_rows_left_out(spark):
     assert set(got) == {*range(60), 106}
     assert all(np.allclose([x for _, _, x in sorted(v)], want[60 if k == 106 else k], atol=1e-6) for k, v in got.items())
     assert sorted(got[4])[0][1] == 106 and abs(sorted(got[4])[0][2] - 1) < 1e-9
-    assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.filter("vec_id = 1")).count() == 0
+    assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.filter("vec_id = 1"), every=1).count() == 0
 
 
 def test_equal_vectors_give_the_least_ids(spark):
@@ -180,7 +180,7 @@ def test_equal_vectors_give_the_least_ids(spark):
     rows = [(k, one, 0) for k in range(100, 150)] + [(k, [float(x) for x in rng.normal(size=8)], 0) for k in range(20)]
     rng.shuffle(rows)
     got = {}
-    for r in neighbours.nearest(spark.createDataFrame([(int(k), v, 0) for k, v, _ in rows], VECS), k=5).collect():
+    for r in neighbours.nearest(spark.createDataFrame([(int(k), v, 0) for k, v, _ in rows], VECS), k=5, every=1).collect():
         got.setdefault(r.vec_id, {})[r.rank] = r.neighbour_id
     assert all([got[k][n] for n in range(1, 6)] == [x for x in range(100, 106) if x != k][:5] for k in range(100, 150))
     assert len(got) == 70 and all(len(g) == 5 for g in got.values())
@@ -198,7 +198,29 @@ def test_reach_grows_until_recall_holds(spark):
     e = rng.normal(size=(6000, 24))
     df = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(e)], VECS)
     got = {}
-    for r in neighbours.nearest(df, window=64).collect():
+    for r in neighbours.nearest(df, every=1, part_rows=500).collect():
         got.setdefault(r.vec_id, set()).add(r.neighbour_id)
     want = exact(e, 10)
     assert np.mean([len(got[k] & want[k]) / 10 for k in range(len(e))]) >= 0.9
+
+
+def test_queries_are_the_ids_divisible_by_fifty_against_all_rows(spark):
+    rng = np.random.default_rng(9)
+    e = rng.normal(size=(1000, 16))
+    e[777] = e[100]
+    e[3] = e[100]
+    df = spark.createDataFrame([(k, [float(x) for x in v], 0) for k, v in enumerate(e)], VECS)
+    got = {}
+    for r in neighbours.nearest(df).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = (r.neighbour_id, r.similarity)
+    assert set(got) == set(range(0, 1000, 50)) and all(sorted(g) == list(range(1, 11)) for g in got.values())
+    assert [got[100][n][0] for n in (1, 2)] == [3, 777] and got[100][1][1] == 1.0
+    want = exact(e, 10)
+    assert np.mean([len({j for j, _ in got[k].values()} & want[k]) / 10 for k in got]) >= 0.9
+
+
+def test_ids_of_text_are_kept(spark):
+    rng = np.random.default_rng(10)
+    rows = [(f"v-{k}", [float(x) for x in rng.normal(size=8)]) for k in range(40)]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id string, embedding array<float>"), k=3, every=1)
+    assert out.count() == 120 and {r.neighbour_id for r in out.collect()} <= {i for i, _ in rows}
