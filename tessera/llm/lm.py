@@ -1,18 +1,22 @@
 """Language-model scoring with a log-bilinear model trained by noise contrast.
 
 The model predicts a word's vector from the CONTEXT words before it by one matrix for
-each place, and scores a word by the dot product plus its bias. Its symbols are the most
-frequent words and, for all others, CLASSES classes by a hash of a word's last two
-bytes; these and the noise distribution come from the word counts of all documents. It
-is trained on all documents: each partition makes one pass over its texts from the same
-start, and the partitions' parameters are averaged by their words. Training tells each
-symbol from noise, so needs no sum over the symbols; scoring is normalised over them, by
-matrix products over whole batches of contexts.
-
-Within its class, every word that occurs LEAST times has the probability of its own
-count: this vocabulary grows with the corpus, so it is a table that is joined. Rarer
-words share what is left by their spelling: bytes from the last to the first, each given
-the two after it, normalised over all strings of the class that aren't in the vocabulary.
+each place, and scores a word by the dot product plus its bias. The VOCABULARY most
+frequent words have vectors. Probabilities have two levels, each normalised by matrix
+products over batches of contexts: of symbols (the HEAD most frequent words, GROUPS
+groups of the others by their endings, CLASSES classes of all words beyond the
+vocabulary), and of the words within a group.
+
+It is trained on all documents in ROUNDS rounds, each on its share of the rows: every
+task makes one pass from the same start, and the tasks' parameters are averaged by their
+words. Training tells each symbol, and each word of a group, from noise, so needs no sum
+over them; noise and first biases come from the word counts of all documents.
+
+Within its class, every word beyond the vocabulary that occurs LEAST times has the
+probability of its own count: these words grow with the corpus, so they are a table that
+is joined. Rarer words share what is left by their spelling: bytes from the last to the
+first, each given the two after it, normalised over all strings of the class that aren't
+counted.
 """
 
 from __future__ import annotations
@@ -29,18 +33,23 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import written
 from tessera.llm.words import WORD, U, Words, _classes, _tables, mix, pieces, text_bytes, tokens
 
-#: Words that are symbols of their own, with the two below.
-VOCABULARY = 1024
-#: Classes of all other words. The first one is OTHER, the others follow the words.
-CLASSES = 256
+#: Words that have vectors of their own.
+VOCABULARY = 65_536
+#: The most frequent of these are symbols; the others are parted among so many groups.
+HEAD, GROUPS = 254, 256
+#: Classes of all words beyond the vocabulary.
+CLASSES = 64
 #: A word counted as often has a probability of its own in its class; rarer ones are spelled.
-LEAST = 5
-BEGIN, OTHER = 0, 1
+LEAST = 2
+BEGIN = 0
 CONTEXT = 2
 DIMS = 24
 NOISE = 32
-BATCH = 8192
+BATCH = 2048
 RATE = 0.15
+ROUNDS = 3
+#: Input partitions that one training task takes at most.
+TOGETHER = 16
 SEED = 5
 
 
@@ -60,33 +69,35 @@ def class_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, classes: int)
     return (mix(last | (before << U(8))) % U(classes)).astype(np.int64)
 
 
-@dataclass
 class Vocabulary:
-    """The most frequent words' hashes, sorted, their ids, and the share of each id in
-    the corpus. ``size`` ids are these words', BEGIN and OTHER; the classes' follow."""
-
-    hashes: np.ndarray
-    ids: np.ndarray
-    share: np.ndarray
-    size: int
-    classes: int
-
-    @staticmethod
-    def of(top: list[tuple[int, int]], rest: np.ndarray, size: int) -> Vocabulary:
-        h = np.array([t[0] for t in top], np.int64).view(U)
+    """Ids of words: BEGIN is 0; then the ``head`` most frequent words, the other words by
+    their endings, and the classes of all others. ``share`` is each id's part of the corpus."""
+
+    def __init__(self, top: list[tuple[int, int, bytes]], rest: np.ndarray, head: int = HEAD, groups: int = GROUPS):
+        """``top``: (hash, count, ending) of the words, the most frequent first; ``rest``: counts of the classes."""
+        tail = sorted(top[head:], key=lambda r: (r[2][::-1], r[0]))
+        rows = [*top[:head], *tail]
+        h = np.array([r[0] for r in rows], np.int64).view(U)
         order = np.argsort(h)
-        share = np.zeros(size + len(rest) - 1)
-        share[2 : 2 + len(top)] = [t[1] for t in top]
-        share[OTHER], share[size:] = rest[0], rest[1:]
-        share += 1.0
-        share[BEGIN] = 0.0
-        return Vocabulary(h[order], (np.arange(len(top)) + 2)[order], share / share.sum(), size, len(rest))
+        self.hashes, self.ids = h[order], np.arange(1, len(rows) + 1)[order]
+        self.head, self.words, self.classes = min(head, len(top)), len(rows), len(rest)
+        share = np.concatenate(([0.0], np.array([r[1] for r in rows], float) + 1, np.asarray(rest, float) + 1))
+        self.share = share / share.sum()
+        #: Of each group, its first word and the end, counted from the head.
+        n = min(groups, len(tail))
+        self.edges = np.linspace(0, len(tail), n + 1).astype(np.int64) if n else np.zeros(1, np.int64)
+        self.group = np.repeat(np.arange(n), np.diff(self.edges))
+        #: The symbol of each id; BEGIN has none.
+        self.symbol = np.concatenate(([-1], np.arange(self.head), self.head + self.group, self.head + n + np.arange(self.classes))).astype(np.int64)
+        self.symbols = self.head + n + self.classes
+        self.symbol_share = np.bincount(self.symbol[1:], self.share[1:], self.symbols)
 
     def ids_of(self, h: np.ndarray) -> np.ndarray:
+        """-1 for words beyond the vocabulary."""
         if len(self.hashes) == 0:
-            return np.full(len(h), OTHER, np.int64)
+            return np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], OTHER)
+        return np.where(self.hashes[at] == h, self.ids[at], -1)
 
     def stream(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, the ids of their contexts (words x CONTEXT), and their rows."""
@@ -94,11 +105,10 @@ class Vocabulary:
 
     def stream_of(self, col: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.ids_of(w.hash)
-        rest = np.flatnonzero(x == OTHER)
-        if len(rest) and self.classes > 1:
+        rest = np.flatnonzero(x < 0)
+        if len(rest):
             data, start, end = folded(col, w)
-            g = class_of(data, start[rest], end[rest], self.classes)
-            x[rest] = np.where(g == 0, OTHER, self.size + g - 1)
+            x[rest] = 1 + self.words + class_of(data, start[rest], end[rest], self.classes)
         before = np.full((len(x), CONTEXT), BEGIN, np.int64)
         for j in range(1, CONTEXT + 1):
             if len(x) > j:
@@ -109,22 +119,24 @@ class Vocabulary:
 
 @dataclass
 class Parameters:
-    context: np.ndarray  # vocabulary x dims: words as context
+    context: np.ndarray  # ids x dims: words as context
     turn: np.ndarray  # CONTEXT x dims x dims
-    word: np.ndarray  # vocabulary x dims: words as targets
-    bias: np.ndarray
+    symbol: np.ndarray  # symbols x dims
+    symbol_bias: np.ndarray
+    word: np.ndarray  # words of groups x dims
+    word_bias: np.ndarray
 
     @staticmethod
-    def start(share: np.ndarray, dims: int, seed: int = SEED) -> Parameters:
+    def start(v: Vocabulary, dims: int, seed: int = SEED) -> Parameters:
         rng = np.random.default_rng(seed)
-        n = len(share)
         turn = np.stack([np.eye(dims) / (j + 1) for j in range(CONTEXT)])
-        vectors = [rng.normal(0, 0.1, (n, dims)) for _ in range(2)]
-        bias = np.log(np.maximum(share, 1e-12))
-        return Parameters(*(a.astype(np.float32) for a in (vectors[0], turn, vectors[1], bias)))
+        context, symbol, word = (rng.normal(0, 0.1, (n, dims)) for n in (len(v.share), v.symbols, v.words - v.head))
+        word *= 0.1
+        bias = [np.log(np.maximum(s, 1e-12)) for s in (v.symbol_share, v.share[1 + v.head : 1 + v.words])]
+        return Parameters(*(a.astype(np.float32) for a in (context, turn, symbol, bias[0], word, bias[1])))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.turn, self.word, self.bias]
+        return [self.context, self.turn, self.symbol, self.symbol_bias, self.word, self.word_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()])
@@ -136,98 +148,129 @@ class Parameters:
             at += a.size
         return Parameters(*out)
 
-    def tables(self) -> list[np.ndarray]:
-        """For each place before a word: what each context word adds to each word's score."""
-        return [self.context @ self.turn[j] @ self.word.T for j in range(CONTEXT)]
+    def hidden(self, before: np.ndarray) -> np.ndarray:
+        """The predicted vectors of contexts."""
+        return sum(self.context[before[:, j]] @ self.turn[j] for j in range(CONTEXT))
 
 
-def _sums(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by id (n of them), by one sort."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
+def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the sums of their ``rows``."""
+    if len(ids) == 0:
+        return ids, rows
+    order = np.argsort(ids, kind="stable")
     s = ids[order]
     at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    out[s[at]] = np.add.reduceat(rows[order], at, axis=0)
-    return out
+    return s[at], np.add.reduceat(rows[order], at, axis=0)
+
+
+class Noise:
+    """Draws from a distribution, and the logarithms that training compares with."""
+
+    def __init__(self, share: np.ndarray, many: int):
+        share = share / max(share.sum(), 1e-300)
+        self.many, self.cumulative = many, np.cumsum(share)
+        self.log = (np.log(np.maximum(share, 1e-12)) + np.log(many)).astype(np.float32)
+
+    def draw(self, rng: np.random.Generator) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.cumulative, rng.random(self.many)), len(self.cumulative) - 1)
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad, from given parameters."""
-
-    def __init__(self, start: Parameters, share: np.ndarray, noise: int = NOISE, rate: float = RATE, seed: int = SEED):
-        self.p = Parameters(*(a.copy() for a in start.arrays()))
-        self.square = [np.full_like(a, 1e-4) for a in self.p.arrays()]
-        self.noise, self.rate = noise, rate
-        self.rng = np.random.default_rng(seed)
-        self.cumulative = np.cumsum(share)
-        self.log_noise = (np.log(np.maximum(share, 1e-12)) + np.log(noise)).astype(np.float32)
+    """Noise-contrastive estimation with Adagrad, from given parameters. A step costs as much for any vocabulary."""
+
+    def __init__(self, start: Parameters, v: Vocabulary, noise: int = NOISE, rate: float = RATE, seed: int = SEED):
+        self.p, self.v = Parameters(*(a.copy() for a in start.arrays())), v
+        # Words that are seen once in a batch must move as well.
+        self.square = [np.full_like(a, 1e-4 if k in (1, 2, 3) else 1e-6) for k, a in enumerate(self.p.arrays())]
+        self.rate, self.rng = rate, np.random.default_rng(seed)
+        self.symbol_noise = Noise(v.symbol_share, noise)
+        self.word_noise = Noise(v.share[1 + v.head : 1 + v.words], 2 * noise)
         self.seen = 0
 
-    def step(self, x: np.ndarray, before: np.ndarray) -> None:
-        p, n = self.p, len(x)
-        ctx = [p.context[before[:, j]] for j in range(CONTEXT)]
-        h = sum(c @ t for c, t in zip(ctx, p.turn, strict=True))
-        target = p.word[x]
-        real = np.einsum("ij,ij->i", h, target) + p.bias[x] - self.log_noise[x]
+    def _contrast(self, h: np.ndarray, x: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: Noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What targets ``x`` against noise give: changes of h, the targets, changes of their vectors and bias (last)."""
+        target, drawn = vectors[x], noise.draw(self.rng)
+        real = np.einsum("ij,ij->i", h, target) + bias[x] - noise.log[x]
         g = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigma: of real words
-        drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.noise)), len(p.bias) - 1)
-        other = p.word[drawn]
-        false = h @ other.T + (p.bias[drawn] - self.log_noise[drawn])
+        other = vectors[drawn]
+        false = h @ other.T + (bias[drawn] - noise.log[drawn])
         q = -1 / (1 + np.exp(np.clip(-false, -30, 30)))  # - sigma: of noise words
         dh = g[:, None] * target + q @ other
-        size = len(p.bias)
-        dword = _sums(x, g[:, None] * h, size)
-        np.add.at(dword, drawn, q.T @ h)
-        dbias = np.bincount(x, g, size).astype(np.float32)
-        np.add.at(dbias, drawn, q.sum(axis=0))
+        rows = np.vstack((np.column_stack((g[:, None] * h, g)), np.column_stack((q.T @ h, q.sum(axis=0)))))
+        return dh, *_sums(np.concatenate((x, drawn)), rows)
+
+    def _move(self, k: int, at: np.ndarray | slice, d: np.ndarray) -> None:
+        s = self.square[k][at] + d * d
+        self.square[k][at] = s
+        self.p.arrays()[k][at] += self.rate * d / np.sqrt(s)
+
+    def step(self, x: np.ndarray, before: np.ndarray) -> None:
+        # A few words move little: they count as a batch that is empty but for them.
+        p, v, n = self.p, self.v, max(len(x), BATCH)
+        ctx = [p.context[before[:, j]] for j in range(CONTEXT)]
+        h = sum(c @ t for c, t in zip(ctx, p.turn, strict=True))
+        dh, at, d = self._contrast(h, v.symbol[x], p.symbol, p.symbol_bias, self.symbol_noise)
+        grouped = np.flatnonzero((x > v.head) & (x <= v.words))
+        if len(grouped):
+            more, w, dw = self._contrast(h[grouped], x[grouped] - 1 - v.head, p.word, p.word_bias, self.word_noise)
+            dh[grouped] += more
+            self._move(4, w, dw[:, :-1] / n)
+            self._move(5, w, dw[:, -1] / n)
+        self._move(2, at, d[:, :-1] / n)
+        self._move(3, at, d[:, -1] / n)
+        seen, dctx = _sums(before.T.ravel(), np.vstack([dh @ t.T for t in p.turn]))
         dturn = np.stack([c.T @ dh for c in ctx])
-        dctx = sum(_sums(before[:, j], dh @ p.turn[j].T, size) for j in range(CONTEXT))
-        for a, d, s in zip(p.arrays(), (dctx, dturn, dword, dbias), self.square, strict=True):
-            d = d / n
-            s += d * d
-            a += self.rate * d / np.sqrt(s)
-        self.seen += n
+        self._move(0, seen, dctx / n)
+        self._move(1, slice(None), dturn / n)
+        self.seen += len(x)
 
     def learn(self, x: np.ndarray, before: np.ndarray, batch: int = BATCH) -> None:
         for i in range(0, len(x), batch):
             self.step(x[i : i + batch], before[i : i + batch])
 
 
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp of each row; ``s`` is used up."""
+    top = s.max(axis=1, keepdims=True)
+    s -= top
+    np.exp(s, out=s)
+    return np.log(s.sum(axis=1)) + top[:, 0]
+
+
 class Scorer:
-    """Normalised log probabilities. Normalisers of contexts are kept once computed."""
+    """Normalised log probabilities of ids (words of the vocabulary, classes of others)."""
 
-    def __init__(self, p: Parameters):
-        self.tables = p.tables()
-        self.bias = p.bias.copy()
-        self.bias[BEGIN] = -np.inf  # never a word, so it takes no probability
-        self.size = len(p.bias)
-        self.known: dict = {}
-        self.norm = np.full(self.size**CONTEXT, np.nan, np.float32)
+    def __init__(self, p: Parameters, v: Vocabulary):
+        self.p, self.v = p, v
 
-    def _keys(self, before: np.ndarray) -> np.ndarray:
+    def log_probs(self, x: np.ndarray, before: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        p, v = self.p, self.v
+        if not len(x):
+            return np.zeros(0)
         key = before[:, 0].copy()
         for j in range(1, CONTEXT):
-            key = key * self.size + before[:, j]
-        return key
-
-    def log_norms(self, before: np.ndarray, chunk: int = 2048) -> np.ndarray:
-        key = self._keys(before)
-        new, first = np.unique(key[np.isnan(self.norm[key])], return_index=True)
-        if len(new):
-            rest, parts = new.copy(), []
-            for _ in range(CONTEXT - 1):
-                parts.append(rest % self.size)
-                rest = rest // self.size
-            ids = [rest, *parts[::-1]]
-            for i in range(0, len(new), chunk):
-                s = self.bias[None, :] + sum(t[c[i : i + chunk]] for t, c in zip(self.tables, ids, strict=True))
-                top = s.max(axis=1, keepdims=True)
-                self.norm[new[i : i + chunk]] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
-        return self.norm[key]
-
-    def log_probs(self, x: np.ndarray, before: np.ndarray) -> np.ndarray:
-        s = self.bias[x] + sum(t[before[:, j], x] for j, t in enumerate(self.tables))
-        return s - self.log_norms(before)
+            key = key * len(v.share) + before[:, j]
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        h = p.hidden(before[first])
+        norm = np.concatenate([_log_sums(h[i : i + chunk] @ p.symbol.T + p.symbol_bias) for i in range(0, len(h), chunk)])
+        s = v.symbol[x]
+        out = np.einsum("ij,ij->i", h[at], p.symbol[s]) + p.symbol_bias[s] - norm[at]
+        # Words of one group share a matrix product.
+        w = x - 1 - v.head
+        rows = np.flatnonzero((w >= 0) & (x <= v.words))
+        if len(rows):
+            g = v.group[w[rows]]
+            order = np.argsort(g, kind="stable")
+            rows, g = rows[order], g[order]
+            cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                lo, hi = v.edges[g[a]], v.edges[g[a] + 1]
+                for i in range(a, b, chunk):
+                    r = rows[i : min(b, i + chunk)]
+                    scores = h[at[r]] @ p.word[lo:hi].T + p.word_bias[lo:hi]
+                    own = scores[np.arange(len(r)), w[r] - lo].copy()
+                    out[r] += own - _log_sums(scores)
+        return out
 
 
 def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
@@ -270,23 +313,19 @@ def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     return docs.mapInArrow(run, "k long, w binary, g int, c long").groupBy("k", "w", "g").agg(F.sum("c").alias("c"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, classes: int = 1) -> Vocabulary:
-    """The most frequent words of ``docs`` (t), equally frequent ones by hash, and the classes' shares."""
-    return symbols_of(written(count_words(docs, classes), "words"), size, classes)[0]
-
-
-def symbols_of(counts: DataFrame, size: int, classes: int) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary of ``counts`` (by ``count_words``), and ``counts`` with ``top``: whether a word is a symbol."""
-    top = counts.orderBy(F.desc("c"), "k").limit(size - 2).collect()
+def symbols_of(counts: DataFrame, size: int, classes: int, head: int = HEAD, groups: int = GROUPS) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of ``counts`` (by ``count_words``): the most frequent words, equally
+    frequent ones by hash. And ``counts`` with ``top``: whether a word is in it."""
+    top = counts.orderBy(F.desc("c"), "k").limit(size).select("k", "c", "g", F.expr("substring(w, -8, 8)").alias("e")).collect()
     rest = np.zeros(classes)
     for r in counts.groupBy("g").agg(F.sum("c").alias("c")).collect():
         rest[r["g"]] = r["c"]
     for r in top:
         rest[r["g"]] -= r["c"]
     # At most ``size`` rows.
-    known = counts.sparkSession.createDataFrame([(r["k"], True) for r in top], "k long, top boolean")
+    known = counts.sparkSession.createDataFrame(pa.table({"k": pa.array([r["k"] for r in top], pa.int64()), "top": pa.array([True] * len(top), pa.bool_())}))
     marked = counts.join(F.broadcast(known), "k", "left").withColumn("top", F.col("top").isNotNull())
-    return Vocabulary.of([(r["k"], r["c"]) for r in top], rest, size), marked
+    return Vocabulary([(r["k"], r["c"], bytes(r["e"])) for r in top], rest, head, groups), marked
 
 
 EDGE = 256
@@ -408,33 +447,39 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["w", "p"])
 
 
-def train(docs: DataFrame, vocab: Vocabulary, dims: int = DIMS, noise: int = NOISE, rate: float = RATE) -> Parameters:
-    """Parameters learnt from all texts of ``docs`` (t)."""
-    start = Parameters.start(vocab.share, dims)
-    held = docs.sparkSession.sparkContext.broadcast((vocab, start))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = held.value
-        trainer = Trainer(p, v.share, noise, rate)
-        rest: list[tuple[np.ndarray, np.ndarray]] = []
-        for whole in batches:
-            for b in pieces(whole, "t"):
-                x, before, _ = v.stream(b.column("t"))
-                rest.append((x, before))
-                if sum(len(r[0]) for r in rest) >= BATCH:
-                    trainer.learn(np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest]))
-                    rest = []
-        if rest:
-            trainer.learn(np.concatenate([r[0] for r in rest]), np.concatenate([r[1] for r in rest]))
-        if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([trainer.p.flat().tobytes()], pa.binary())], ["w", "p"])
-
+def train(docs: DataFrame, vocab: Vocabulary, dims: int = DIMS, noise: int = NOISE, rate: float = RATE, rounds: int = ROUNDS) -> Parameters:
+    """Parameters learnt from all texts of ``docs`` (t), each of them in one of the rounds."""
+    p, spark = Parameters.start(vocab, dims), docs.sparkSession
+    parts = docs.rdd.getNumPartitions()
+    tasks = max(1, min(parts, max(spark.sparkContext.defaultParallelism, ceil(parts / TOGETHER))))
     kind = "w double, p binary"
-    tasks = docs.rdd.getNumPartitions()
-    # Means of means, so that no task reads more than about the root of all tasks' rows.
-    means = docs.mapInArrow(run, kind).repartition(max(1, ceil(sqrt(tasks)))).mapInArrow(_mean, kind).coalesce(1).mapInArrow(_mean, kind)
-    row = means.first()
-    return start if row is None else start.like(np.frombuffer(row["p"], np.float32))
+    for r in range(rounds):
+        held = spark.sparkContext.broadcast((vocab, p))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            v, start = held.value
+            trainer = Trainer(start, v, noise, rate)
+            rest: list[tuple[np.ndarray, np.ndarray]] = []
+            for whole in batches:
+                for b in pieces(whole, "t"):
+                    x, before, _ = v.stream(b.column("t"))
+                    rest.append((x, before))
+                    if sum(len(y[0]) for y in rest) >= BATCH:
+                        trainer.learn(np.concatenate([y[0] for y in rest]), np.concatenate([y[1] for y in rest]))
+                        rest = []
+            if rest:
+                trainer.learn(np.concatenate([y[0] for y in rest]), np.concatenate([y[1] for y in rest]))
+            if trainer.seen:
+                yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([trainer.p.flat().tobytes()], pa.binary())], ["w", "p"])
+
+        mine = docs.filter(F.pmod(F.monotonically_increasing_id(), F.lit(rounds)) == r).coalesce(tasks)
+        # Means of means, so that no task reads more than about the root of all tasks' rows.
+        means = mine.mapInArrow(run, kind).repartition(max(1, ceil(sqrt(tasks)))).mapInArrow(_mean, kind).coalesce(1).mapInArrow(_mean, kind)
+        row = means.first()
+        held.destroy()
+        if row is not None:
+            p = p.like(np.frombuffer(row["p"], np.float32))
+    return p
 
 
 def score(
@@ -447,38 +492,42 @@ def score(
     rate: float = RATE,
     classes: int = CLASSES,
     least: int = LEAST,
+    head: int = HEAD,
+    groups: int = GROUPS,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row under a model of all rows.
 
     * log_prob is the sum of the words' natural log probabilities, of each word itself:
-      words that aren't symbols have their class's by the context times their own in
+      words beyond the vocabulary have their class's by the context times their own in
       the class. perplexity is exp(-log_prob / n_tokens).
     * A null text has nulls. A text without words has 0, 0.0 and a null perplexity.
     * Repeated rows and ids are scored row by row, and count as often as they occur.
     * A text of any length is scored whole. Other columns are not read. An empty table
       gives no rows.
 
-    Symbols and parameters have a fixed size, so what is broadcast doesn't grow; the
-    vocabulary does, and is joined.
+    Words with vectors, and so parameters, have a fixed number, so what is broadcast doesn't
+    grow; the words beyond them do, and are joined.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    slim = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
+    kind = docs.schema[id_col].dataType.simpleString()
     texts = slim.select("t").filter("t is not null")
-    vocab, marked = symbols_of(written(count_words(texts, classes), "words"), vocabulary_size, classes)
+    vocab, marked = symbols_of(written(count_words(texts, classes), "words"), vocabulary_size, classes, head, groups)
     words = word_probs(marked, classes, least)
-    held = docs.sparkSession.sparkContext.broadcast((vocab, train(texts, vocab, dims, noise, rate)))
+    held = docs.sparkSession.sparkContext.broadcast((vocab, train(texts, vocab, dims, noise, rate, rounds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = held.value
-        scorer = Scorer(p)
+        scorer = Scorer(p, v)
         for whole in batches:
             for b in pieces(whole, "t"):
                 w = tokens(b.column("t"))
                 x, before, row = v.stream_of(b.column("t"), w)
-                lp = scorer.log_probs(x, before) if len(x) else np.zeros(0)
+                lp = scorer.log_probs(x, before)
                 n = np.bincount(row, minlength=b.num_rows)
                 total = np.bincount(row, lp, b.num_rows)
                 null = np.asarray(b.column("t").is_null())
-                rest = np.flatnonzero((x == OTHER) | (x >= v.size))
+                rest = np.flatnonzero(x > v.words)
                 k, r = w.hash[rest].view(np.int64), row[rest]
                 order = np.lexsort((k, r))
                 k, r = k[order], r[order]
@@ -487,7 +536,7 @@ def score(
                 offs = np.concatenate(([0], np.cumsum(np.bincount(r[first], minlength=b.num_rows)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(n, pa.int64(), mask=null), pa.array(total, pa.float64(), mask=null), pa.ListArray.from_arrays(pa.array(offs), pairs)], ["d", "n", "lp", "rest"])
 
-    rows = slim.mapInArrow(run, "d long, n long, lp double, rest array<struct<k:long,c:int>>").withColumn("r", F.monotonically_increasing_id())
+    rows = slim.mapInArrow(run, f"d {kind}, n long, lp double, rest array<struct<k:long,c:int>>").withColumn("r", F.monotonically_increasing_id())
     rows = written(rows, "symbols")
     pairs = rows.select("r", F.explode("rest").alias("x")).select("r", "x.k", "x.c")
     own = pairs.join(words, "k").groupBy("r").agg(F.sum(F.col("c") * F.col("lp")).alias("own"))

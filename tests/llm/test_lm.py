@@ -13,38 +13,67 @@ def grammar(rng, n):
     return " ".join(out)
 
 
-def model(spark, size=40):
+def model(spark, size=40, head=12, groups=3):
     rng = np.random.default_rng(1)
     rows = [(k, grammar(rng, 900)) for k in range(24)]
     docs = spark.createDataFrame(rows, "d long, t string").select("t").repartition(2)
-    vocab = lm.vocabulary(docs, size)
-    return vocab, lm.train(docs, vocab, dims=8, rate=0.3), grammar(rng, 800)
+    vocab, _ = lm.symbols_of(lm.count_words(docs, 4), size, 4, head, groups)
+    return vocab, lm.train(docs, vocab, dims=8, rate=0.3), grammar(rng, 800) + " unheard of"
+
+
+def every_probability(p, v, before):
+    """Of every id after one context, by brute force."""
+    h = sum(p.context[before[j]] @ p.turn[j] for j in range(lm.CONTEXT))
+    s = np.exp(h @ p.symbol.T + p.symbol_bias)
+    s /= s.sum()
+    out = np.zeros(len(v.share))
+    out[1 : 1 + v.head], out[1 + v.words :] = s[: v.head], s[len(s) - v.classes :]
+    for g in range(len(v.edges) - 1):
+        lo, hi = v.edges[g], v.edges[g + 1]
+        w = np.exp(h @ p.word[lo:hi].T + p.word_bias[lo:hi])
+        out[1 + v.head + lo : 1 + v.head + hi] = s[v.head + g] * w / w.sum()
+    return out
 
 
 def test_probabilities_are_normalised_and_equal_brute_force(spark):
     vocab, p, held = model(spark)
     x, before, _ = vocab.stream(pa.array([held]))
-    scorer = lm.Scorer(p)
-    got = scorer.log_probs(x, before)
-    h = sum(p.context[before[:, j]] @ p.turn[j] for j in range(lm.CONTEXT))
-    scores = h @ p.word.T + p.bias
-    scores[:, lm.BEGIN] = -np.inf
-    want = scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
-    assert np.allclose(np.exp(want).sum(axis=1), 1) and np.allclose(got, want[np.arange(len(x)), x], atol=1e-4)
+    got = lm.Scorer(p, vocab).log_probs(x, before)
+    assert (x > vocab.words).sum() == 2 and ((x > vocab.head) & (x <= vocab.words)).any()
+    for k in [*range(0, len(x), 97), len(x) - 1]:
+        want = every_probability(p, vocab, before[k])
+        assert np.isclose(want.sum(), 1) and np.isclose(np.exp(got[k]), want[x[k]], rtol=1e-3)
 
 
 def test_held_out_text_is_better_predicted_than_by_frequency(spark):
     vocab, p, held = model(spark)
     x, before, _ = vocab.stream(pa.array([held]))
     unigram = -np.log(vocab.share[x]).mean()
-    assert -lm.Scorer(p).log_probs(x, before).mean() < unigram - 0.4
+    assert -lm.Scorer(p, vocab).log_probs(x, before).mean() < unigram - 0.4
 
 
 def test_vocabulary_counts_all_documents(spark):
     docs = spark.createDataFrame([("b a a",), ("a c b",), (None,)], "t string").filter("t is not null")
-    v = lm.vocabulary(docs, 4)
-    assert set(v.ids_of(word_hash("a b")).tolist()) == {2, 3} and v.ids_of(word_hash("c"))[0] == lm.OTHER
-    assert v.share[2] > v.share[3] > 0
+    v, _ = lm.symbols_of(lm.count_words(docs, 1), 2, 1, head=1)
+    assert v.ids_of(word_hash("a b")).tolist() == [1, 2] and v.ids_of(word_hash("c"))[0] == -1
+    assert v.share[1] > v.share[2] > 0 and v.symbols == 3
+
+
+def test_ids_beyond_two_bytes_are_told_apart():
+    top = [(int(h), 1000 - k // 100, b"w%d" % k) for k, h in enumerate(np.random.default_rng(2).choice(1 << 40, 70_000, replace=False))]
+    v = lm.Vocabulary(top, np.ones(4))
+    assert v.words == 70_000 and len(set(v.ids.tolist())) == 70_000 and (np.diff(v.edges) > 0).all()
+    ids, sums = lm._sums(np.array([5, 65_541, 5, 65_541]), np.ones((4, 1), np.float32))
+    assert ids.tolist() == [5, 65_541] and sums[:, 0].tolist() == [2, 2]
+    p = lm.Parameters.start(v, 4)
+    x = np.array([3, 66_000, 69_999])
+    before = np.array([[0, 0], [69_000, 5], [66_000, 69_000]])
+    trainer = lm.Trainer(p, v)
+    old = lm.Scorer(p, v).log_probs(x, before)
+    for _ in range(20):
+        trainer.step(x, before)
+    assert (lm.Scorer(trainer.p, v).log_probs(x, before) > old).all()
+    assert np.isclose(every_probability(trainer.p, v, before[1]).sum(), 1, atol=1e-4)
 
 
 def test_odd_rows(odd_docs):
@@ -63,7 +92,7 @@ def test_empty(docs_of):
 def test_rare_words_have_probabilities_of_their_own(spark):
     rows = [(1, "the cat " * 200 + "zebra " * 20 + "quagga"), (2, "zebra zebra"), (3, "quagga quagga"), (4, "xqjzkvw xqjzkvw"), (5, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.log_prob for r in lm.score(docs, vocabulary_size=4, classes=1).collect()}
+    got = {r.doc_id: r.log_prob for r in lm.score(docs, vocabulary_size=2, classes=1, least=5).collect()}
     # All but "the" and "cat" is beyond the symbols: one word of one probability, once.
     assert got[5] > got[2] > got[3] + 1 > got[4] + 2
 
@@ -72,10 +101,10 @@ def test_words_of_a_class_share_one(spark):
     rng = np.random.default_rng(3)
     made = ["".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(400)]
     docs = spark.createDataFrame([(" ".join(made[:200]),), (" ".join(made[200:]),)], "t string")
-    vocab, marked = lm.symbols_of(lm.count_words(docs, 3), 6, 3)
+    vocab, marked = lm.symbols_of(lm.count_words(docs, 3), 4, 3)
     rows = {r["k"]: r for r in marked.collect()}
     assert sum(r["top"] for r in rows.values()) == 4 and sum(r["c"] for r in rows.values()) == 400
-    assert np.isclose(vocab.share.sum(), 1) and len(vocab.share) == 8
+    assert np.isclose(vocab.share.sum(), 1) and len(vocab.share) == 8 and vocab.symbols == 7
     lp = {r["k"]: r["lp"] for r in lm.word_probs(marked, 3, 5).collect()}
     assert set(lp) == {k for k, r in rows.items() if not r["top"]}
     # Words of the vocabulary have their counts' shares; with the words of the class that were never seen, all make 1.
