@@ -8,16 +8,18 @@ the latest then; a bin keeps its least value, and rounds end when all are full.
 band share a bucket. Pairs of a bucket are verified by the exact Jaccard similarity
 of the sets; groups are the connected components of verified pairs.
 
-No bucket is capped. First each member is compared with its bucket's least member;
-what this unites needs no more comparison among itself, as it is one group already.
-Then every pair of a bucket whose members are still in different groups is compared.
-So the groups are those of all verified candidate pairs, while a bucket of n copies
-costs n comparisons.
+Texts of one sequence of words are one text here; what follows is done once for them. No
+bucket is capped. First each member is compared with its bucket's least member; what
+this unites needs no more comparison among itself, as it is one group already. Then
+every pair of a bucket whose members are still in different groups is compared, in
+blocks of BLOCK members by as many, so that no bucket is one task's work. So the groups
+are those of all verified candidate pairs, while a bucket of n copies costs n comparisons.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from tessera.llm.words import U, Words, mix, pieces, salts, shingles, tokens
 SHINGLE = 3
 BANDS, ROWS = 48, 4
 THRESHOLD = 0.5
+#: Members of a bucket that meet as many others in one join key.
+BLOCK = 256
 
 
 def sketch(s: np.ndarray, row: np.ndarray, rows: int, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +54,8 @@ def sketch(s: np.ndarray, row: np.ndarray, rows: int, t: int) -> tuple[np.ndarra
     return out.reshape(rows, t), some
 
 
-def fingerprints(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each row's whole sequence of tokens; a row without tokens has 0, 0."""
+def fingerprints(w: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's whole sequence of tokens; of all its signs but outer blanks if it has no token."""
     first = w.firsts()
     place = np.arange(len(w.hash)) - first[w.row] if len(w.hash) else np.zeros(0, np.int64)
     out = []
@@ -60,6 +64,9 @@ def fingerprints(w: Words) -> tuple[np.ndarray, np.ndarray]:
             part = mix(w.hash ^ mix(place.astype(U) * U(0x9E3779B97F4A7C15) + U(seed)))
             total = np.concatenate((np.zeros(1, U), np.cumsum(part, dtype=U)))
             out.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+    for r in np.flatnonzero(first[1:] == first[:-1]).tolist():
+        raw = blake2b((texts[r].as_py() or "").strip().encode(), digest_size=16).digest()
+        out[0][r], out[1][r] = np.frombuffer(raw, np.int64)
     return out[0], out[1]
 
 
@@ -77,7 +84,7 @@ def _sketches(k: int, bands: int, rows: int):
                 s, r = shingles(w, k)
                 sk, some = sketch(s, r, b.num_rows, bands * rows)
                 keys = _band_keys(sk, bands, rows)[some]
-                a, z = fingerprints(w)
+                a, z = fingerprints(w, b.column("t"))
                 offs = np.concatenate(([0], np.cumsum(np.where(some, bands, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("n"), b.column("d"), pa.array(a), pa.array(z), lists], ["n", "d", "a", "z", "bands"])
@@ -112,13 +119,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("c")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("n", "v"), "v").groupBy(F.col("u").alias("n")).agg(F.min("c").alias("m"))
-        step = labels.join(near, "n").select("n", "c", F.least("c", "m").alias("m"))
+        near = both.join(labels.withColumnRenamed("n", "v"), "v").select(F.col("u").alias("n"), "c", F.lit(None).cast("long").alias("old"))
+        step = near.union(labels.select("n", "c", F.col("c").alias("old"))).groupBy("n").agg(F.min("c").alias("m"), F.max("old").alias("old"))
         up = labels.select(F.col("n").alias("m"), F.col("c").alias("p"))
-        now = written(step.join(up, "m").select("n", F.least("m", "p").alias("m"), F.col("c").alias("old")), "labels")
-        moved = now.filter("m <> old").limit(1).count()
-        labels = now.select("n", F.col("m").alias("c"))
-        if not moved:
+        now = written(step.join(up, "m").select("n", F.least("m", "p").alias("c"), "old"), "labels")
+        labels = now.select("n", "c")
+        if now.filter("c <> old").isEmpty():
             return labels
 
 
@@ -143,17 +149,14 @@ def groups(
     rows: int = ROWS,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(n, d, head_n, head): every node that is not the head of its group of near
-    duplicates, and the group's head: its least id, among equal ids the least node."""
-    slim = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), node_id(id_col, text_col).alias("n")).filter("t is not null")
-    sk = written(
-        slim.mapInArrow(_sketches(shingle, bands, rows), "n long, d long, a long, z long, bands array<long>"),
-        "sketches",
-    )
-    # Equal sequences of tokens are united without comparing them.
-    reps = sk.groupBy("a", "z").agg(F.min(F.struct("n", "bands")).alias("r")).select("a", "z", F.col("r.n").alias("rep"), F.col("r.bands").alias("bands"))
-    reps = written(reps, "reps")
-    same = sk.join(reps.select("a", "z", "rep"), ["a", "z"]).filter("n <> rep").select(F.col("rep").alias("u"), F.col("n").alias("v")).distinct()
+    """(n, d, links, head_n, head): every node of a group of near duplicates, the verified
+    links of its text to others, and the group's head: its least id, among equal ids the least node."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), node_id(id_col, text_col).alias("n")).filter("t is not null")
+    sk = written(slim.mapInArrow(_sketches(shingle, bands, rows), f"n long, d {kind}, a long, z long, bands array<long>"), "sketches")
+    # One node stands for all of its sequence of words.
+    reps = sk.groupBy("a", "z").agg(F.min(F.struct("n", "bands")).alias("r"), F.max("n").alias("last"))
+    reps = written(reps.select("a", "z", F.col("r.n").alias("rep"), F.col("r.bands").alias("bands"), (F.col("last") > F.col("r.n")).alias("several")), "reps")
 
     key = reps.select(F.explode("bands").alias("b"), "rep")
     least = F.expr("min(rep) over (partition by b)")
@@ -162,36 +165,48 @@ def groups(
     inside = buckets.select(F.col("rep").alias("n")).distinct()
     sets = written(slim.join(inside, "n", "left_semi").dropDuplicates(["n"]).select("n", "t").mapInArrow(_sets(shingle), "n long, s array<long>"), "sets")
 
-    stars = written(buckets.filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
+    stars = buckets.filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
     first = written(_verified(stars, sets, threshold), "first")
     part = components(first)
-    held = buckets.join(part.withColumnRenamed("n", "rep"), "rep", "left").select("b", "rep", F.coalesce("c", "rep").alias("c"))
-    open_ = held.join(held.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("b"), "b")
-    one, two = open_.select("b", F.col("rep").alias("u"), F.col("c").alias("cu")), open_.select("b", F.col("rep").alias("v"), F.col("c").alias("cv"))
-    cross = one.join(two, "b").filter("u < v and cu <> cv").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    second = _verified(cross, sets, threshold)
-
-    part = components(first.union(second).union(same))
-    ids = sk.select("n", "d").distinct()
+    held = written(buckets.join(part.withColumnRenamed("n", "rep"), "rep", "left").select("b", "rep", "least", F.coalesce("c", "rep").alias("c")), "held")
+    open_ = held.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1")
+    open_ = open_.select("b", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    placed = held.join(open_, "b").filter("rep <> least").withColumn("at", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("k")).cast("int"))
+    one = placed.select("b", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("k") - 1)).alias("j"))
+    two = placed.select("b", F.col("rep").alias("v"), F.col("c").alias("cv"), F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"))
+    cross = one.join(two, ["b", "i", "j"]).filter("cu <> cv and (i < j or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # A pair may have been compared in another bucket before.
+    links = written(first.union(_verified(cross, sets, threshold)).distinct(), "links")
+
+    part = components(links).withColumnRenamed("n", "rep")
+    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    members = sk.select("n", "d", "a", "z").distinct().join(reps.select("a", "z", "rep", "several"), ["a", "z"]).join(part, "rep", "left").join(degree, "rep", "left")
+    members = members.filter("several or c is not null").select("n", "d", F.coalesce("c", "rep").alias("c"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    members = written(members, "members")
     order = F.struct(F.col("d").isNull().alias("none"), "d", "n")
-    part = written(ids.join(part, "n"), "groups")
-    heads = part.groupBy("c").agg(F.min(order).alias("h")).select("c", F.col("h.d").alias("head"), F.col("h.n").alias("head_n"))
-    return part.join(heads, "c").select("n", "d", "head_n", "head")
+    heads = members.groupBy("c").agg(F.min(order).alias("h")).select("c", F.col("h.d").alias("head"), F.col("h.n").alias("head_n"))
+    return members.join(heads, "c").select("n", "d", "links", "head_n", "head")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """(doc_id, group_id): the members of every group of two or more near duplicates;
-    group_id is the group's least doc_id, which is the document that stays.
-
-    * Texts that differ only in case, punctuation or spacing are duplicates.
-    * A null text is in no group. Texts without any word are copies of one another.
+    """(doc_id, group_id, n_links): one row for each document of every group of two or more
+    near duplicates; group_id is the group's least doc_id, which is the document that
+    stays. n_links counts the verified links of its text to different texts: those that
+    hold the group together, as what is united already isn't compared again. It is 0
+    where the group is one text and its copies.
+
+    * Texts that differ only in case, punctuation or spacing are copies. Case is that of
+      letters whose two forms have as many bytes.
+    * A null text is in no group. Texts without any word are copies if all their signs
+      but outer blanks agree.
     * Texts of fewer than three words are duplicates if all their words agree.
     * A null id comes after all others; a group of null ids only has a null group_id.
     * Repeated rows (same id, same text) are one member, and no group by themselves;
       one id with several texts is a member for each of them.
-    * Other columns are not read. An empty table gives no rows.
+    * A text of any length counts as a whole. Other columns are not read. An empty table
+      gives no rows.
     """
-    return groups(docs, id_col, text_col, **params).select(F.col("d").alias("doc_id"), F.col("head").alias("group_id"))
+    return groups(docs, id_col, text_col, **params).select(F.col("d").alias("doc_id"), F.col("head").alias("group_id"), F.col("links").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -201,6 +216,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of repeated rows with a text one stays."""
     n, k = fresh(docs, "node"), fresh(docs, "place")
     gone = groups(docs, id_col, text_col, **params).filter("n <> head_n").select(F.col("n").alias(n))
-    kept = docs.withColumn(n, node_id(id_col, text_col)).join(gone, n, "left_anti")
-    kept = kept.withColumn(k, F.expr(f"row_number() over (partition by `{n}` order by `{n}`)"))
-    return kept.filter(F.col(text_col).isNull() | (F.col(k) == 1)).drop(n, k)
+    # Rows without a text are told apart by their place; of repeated rows all but one go before rows move.
+    node = F.when(F.col(text_col).isNull(), -F.monotonically_increasing_id() - 1).otherwise(node_id(id_col, text_col))
+    one = docs.withColumn(n, node).withColumn(k, F.expr(f"row_number() over (partition by `{n}` order by `{n}`)")).filter(F.col(k) == 1)
+    return one.join(gone, n, "left_anti").drop(n, k)

@@ -1,8 +1,8 @@
 """Tokens of whole Arrow batches as numpy arrays, without a Python object per word.
 
 A token is a run of word bytes (ASCII letters, digits, ``_`` and any letter beyond
-ASCII) or, if asked for, a run of other printable bytes. ASCII and Latin-1 letters
-are folded to lower case. Every token has a 64-bit hash of its folded bytes. Work
+ASCII) or, if asked for, a run of other printable bytes. Letters are folded to lower
+case where both forms have as many bytes. Every token has a 64-bit hash of its folded bytes. Work
 goes in blocks of whole tokens, so a text of any length needs little memory beside
 its own bytes. Nulls count as empty texts.
 """
@@ -49,6 +49,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return cls, low, salts(256, 7), salts(64, 11)
 
 
+@lru_cache(1)
+def _folds() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the lower case of letters of two, and of three bytes."""
+    two, three = np.arange(0x800), np.arange(0x10000)
+    for table, least in ((two, 0x80), (three, 0x800)):
+        for c in range(least, len(table)):
+            low = chr(c).lower() if not 0xD800 <= c < 0xE000 else ""
+            if len(low) == 1 and least <= ord(low) < len(table):
+                table[c] = ord(low)
+    return two, three
+
+
 @lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     p = 0x5851F42D4C957F2D
@@ -102,9 +114,15 @@ def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cls, low, _, _ = _tables()
     c, b = cls[data], low[data]
     if (data > 127).any():
-        at = np.flatnonzero(data[:-1] == 0xC3) + 1
-        up = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
-        b[up] += 32
+        two, three = _folds()
+        at = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xDF))
+        if len(at):
+            cp = two[((data[at] & 31).astype(np.int64) << 6) | (data[at + 1] & 63)]
+            b[at], b[at + 1] = 0xC0 | (cp >> 6), 0x80 | (cp & 63)
+        at = np.flatnonzero((data[:-2] >= 0xE0) & (data[:-2] <= 0xEF))
+        if len(at):
+            cp = three[((data[at] & 15).astype(np.int64) << 12) | ((data[at + 1] & 63).astype(np.int64) << 6) | (data[at + 2] & 63)]
+            b[at], b[at + 1], b[at + 2] = 0xE0 | (cp >> 12), 0x80 | ((cp >> 6) & 63), 0x80 | (cp & 63)
         at = np.flatnonzero(data[:-1] == 0xC2)
         nxt = data[at + 1]
         mark = at[(nxt != 0xAA) & (nxt != 0xB5) & (nxt != 0xBA)]

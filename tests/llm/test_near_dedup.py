@@ -75,8 +75,8 @@ def test_case_and_punctuation_are_ignored(docs_of):
 
 def test_odd_rows(odd_docs):
     got = sorted((r.doc_id, r.group_id) for r in near_duplicates(odd_docs).collect())
-    # Texts without words are copies of one another; a repeated row is no group.
-    assert got == [(2, 2), (3, 2), (5, 2), (6, 2)]
+    # Blank texts are copies of one another, other signs without words are not; a repeated row is no group.
+    assert got == [(2, 2), (3, 2), (5, 2)]
 
 
 def test_deduplicate_keeps_one_of_each_group(odd_docs):
@@ -85,7 +85,36 @@ def test_deduplicate_keeps_one_of_each_group(odd_docs):
     assert out.columns == wide.columns
     ids = sorted((r.doc_id is None, r.doc_id or 0, r.text is None) for r in out.collect())
     assert len([x for x in ids if x[2]]) == 2
-    assert [x[1] for x in ids if not x[2] and not x[0]] == [2, 4, 4, 7, 8, 9]
+    assert [x[1] for x in ids if not x[2] and not x[0]] == [2, 4, 4, 6, 7, 8, 9]
+
+
+def test_texts_without_words_agree_in_their_signs(docs_of):
+    got = near_duplicates(docs_of([(1, "***"), (2, "%%%"), (3, " *** "), (4, "***")])).collect()
+    assert sorted((r.doc_id, r.group_id, r.n_links) for r in got) == [(1, 1, 0), (3, 1, 0), (4, 1, 0)]
+
+
+def test_case_of_other_scripts_is_ignored(docs_of):
+    got = near_duplicates(docs_of([(1, "Привет МИР как дела"), (2, "привет мир КАК дела"), (3, "ΑΒΓ δ Ωμ"), (4, "αβγ Δ ωΜ"), (5, "Ḁb ｃＤ x"), (6, "ḁB ＣｄX")])).collect()
+    assert {(r.doc_id, r.group_id) for r in got} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
+def test_links_join_different_texts_and_ids_keep_their_type(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("a", base), ("b", base + " thirteen"), ("c", base.upper()), ("d", "quite another text without any of these"), (None, base + " fourteen")]
+    got = {r.doc_id: (r.group_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert set(got) == {"a", "b", "c", None} and {g for g, _ in got.values()} == {"a"} and got["a"][1] == got["c"][1] >= 1 and all(n >= 1 for _, n in got.values())
+
+
+def test_a_bucket_is_compared_in_blocks(docs_of, monkeypatch):
+    rng = random.Random(5)
+    # Two chains of texts that share a passage: the least member is like few of them.
+    passage, rows = words(rng, 40), []
+    for g in range(12):
+        own = words(rng, 60)
+        rows += [(10 * g + k, " ".join(passage + own[: 50 + 2 * k])) for k in range(4)]
+    monkeypatch.setattr("tessera.llm.near_dedup.BLOCK", 2)
+    got = {(r.doc_id, r.group_id) for r in near_duplicates(docs_of(rows)).collect()}
+    assert got == brute(rows)
 
 
 def test_empty(docs_of):

@@ -23,6 +23,7 @@ def test_tokens_are_the_words(texts):
 
 def test_case_and_slices():
     assert (word_hash("École TEST Straße") == word_hash("école test straße")).all()
+    assert (word_hash("ПРИВЕТ ΣΟΦ Ẁ Ａ") == word_hash("привет σοφ ẁ ａ")).all()
     col = pa.array(["a b", None, "c", "a b"]).slice(1)
     w = tokens(col)
     assert w.row.tolist() == [1, 2, 2] and w.counts().tolist() == [0, 1, 2]
