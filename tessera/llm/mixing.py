@@ -27,6 +27,8 @@ BUDGET_SHARE = 0.8
 DIGITS = 3
 #: Ranges of the finish time, of which only the one that the budget ends in is sorted exactly.
 RANGES = 4096
+#: Rows of a range that are sorted exactly in one task.
+SORTED = 100_000
 
 
 def token_count(text_col: str) -> Column:
@@ -75,17 +77,30 @@ def _admitted(times: DataFrame, share: float | None, budget: int | None) -> Data
     if top is None:
         return times
     limit = int(budget) if budget is not None else int(total * share)
-    width = max(top, 1.0) / RANGES
-    ranged = times.withColumn("r", F.least(F.floor(F.col("f") / F.lit(width)), F.lit(RANGES - 1)).cast("long"))
-    totals = ranged.groupBy("r").agg(F.sum("n").alias("t")).withColumn("c", F.sum("t").over(Window.orderBy("r")))
-    # The first range that no longer fits as a whole; RANGES rows at most come to the driver.
-    over = totals.filter(F.col("c") > limit).orderBy("r").first()
-    if over is None:
-        return times
-    room = limit - (over["c"] - over["t"])
-    inside = ranged.filter(F.col("r") == over["r"]).withColumn("c", F.sum("n").over(Window.orderBy("f", "s", "h", "d", "n", "x")))
-    cut = inside.filter(F.col("c") <= room)
-    return ranged.filter(F.col("r") < over["r"]).drop("r").unionByName(cut.drop("r", "c"))
+    # Ranges are parted again until the one that the limit falls into is small, or one finish
+    # time: of that, each source has one document with tokens, and rows alike in all keys.
+    low, high, room, cut = 0.0, float(top), limit, times
+    while True:
+        width = (high - low) / RANGES
+        if not width or low + width == low:
+            break
+        ranged = cut.withColumn("r", F.greatest(F.least(F.floor((F.col("f") - F.lit(low)) / F.lit(width)), F.lit(RANGES - 1)), F.lit(0)).cast("long"))
+        # RANGES rows at most come to the driver.
+        totals = sorted(tuple(r) for r in ranged.groupBy("r").agg(F.sum("n"), F.count("*"), F.min("f"), F.max("f")).collect())
+        over = None
+        for r, t, many, least, most in totals:
+            if t > room:
+                over = r, many, least, most
+                break
+            room -= t
+        if over is None:
+            return times
+        r, many, low, high = over
+        cut = times.filter((F.col("f") >= F.lit(low)) & (F.col("f") <= F.lit(high)))
+        if many <= SORTED:
+            break
+    inside = cut.withColumn("c", F.sum("n").over(Window.orderBy("f", "s", "h", "d", "n", "x"))).filter(F.col("c") <= room)
+    return times.filter(F.col("f") < F.lit(low)).unionByName(inside.drop("c"))
 
 
 def mix(
@@ -106,6 +121,7 @@ def mix(
     * A null id is shuffled as ''. Equal ids are ordered by tokens and a hash of the
       text; rows that agree in these too finish together, and stay or go together.
     * Equal finish times are ordered by source and shuffle hash.
+    * A very long text counts with all its tokens.
     * Other columns are not read. An empty table gives no rows.
     * Weights must be positive.
     """

@@ -8,6 +8,8 @@ few slots as needed; no record's slot changes, so only the moved slots' data mov
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -75,6 +77,12 @@ class SlotMap:
                 return v
             v += 1
 
+    def balanced(self, sizes: DataFrame, version: int, shards: int, slack: float = SLACK) -> bool:
+        """Whether a version has so many shards, and all are within ``slack`` or have only one slot with bytes."""
+        load = sizes.join(self.read(version).select("slot", "shard"), "slot").groupBy("shard").agg(F.sum("bytes").alias("b"), F.count(F.when(F.col("bytes") > 0, 1)).alias("n")).collect()
+        limit = slack * sum(r["b"] for r in load) / shards
+        return {r["shard"] for r in load} == set(range(shards)) and all(r["b"] <= limit or r["n"] <= 1 for r in load)
+
     def rebalance(self, sizes: DataFrame, shards: int, slack: float = SLACK) -> int:
         """Write the next version for new sizes or another number of shards, and return
         its number. Slots of shards that are gone, and the largest slots that fit of
@@ -105,6 +113,11 @@ class SlotMap:
                     of[slot] = to
                     load[to] += size.get(slot, 0)
                     load[shard] -= size.get(slot, 0)
+        # A shard without slots gets the smallest one of the shard that has most.
+        for shard in range(shards):
+            if shard not in of.values():
+                many = Counter(of.values()).most_common(1)[0][0]
+                of[min((s for s, k in of.items() if k == many), key=lambda s: (size.get(s, 0), s))] = shard
         rows = self.spark.createDataFrame([(s, of[s], size.get(s, 0)) for s in range(SLOTS)], "slot int, shard int, bytes long")
         self.write(rows, version + 1)
         return version + 1
@@ -128,16 +141,26 @@ def assign(docs: DataFrame, slots: SlotMap, version: int, id_col: str = "doc_id"
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Every row of ``docs`` with its slot and shard under version 1 of a new map.
+    """Every row of ``docs`` with its slot and shard.
+
+    Without a path, or where it has no map yet, version 1 of a new map is written. A map
+    that is there is kept: its latest version is used if it has as many shards and none
+    holds more than SLACK times the mean (or one slot), else it is rebalanced, and the
+    next version is used.
 
     * A null id has the slot of ''; equal ids and repeated rows share a slot.
     * A null or empty text has no bytes, and its row is assigned like any other.
     * An empty table writes a map of even ranges and gives no rows.
     * A very long text counts with all its bytes; a slot is never split.
     """
-    slots = SlotMap(docs.sparkSession, path)
-    slots.write(first_map(slot_bytes(docs, id_col, text_col), shards), 1)
-    return assign(docs, slots, 1, id_col)
+    slots, sizes = SlotMap(docs.sparkSession, path), slot_bytes(docs, id_col, text_col)
+    version = slots.latest() if path else 0
+    if not version:
+        version = 1
+        slots.write(first_map(sizes, shards), version)
+    elif not slots.balanced(sizes, version, shards):
+        version = slots.rebalance(sizes, shards)
+    return assign(docs, slots, version, id_col)
 
 
 ORACLE = f"""

@@ -1,7 +1,7 @@
 """Token counts by a public byte-level BPE vocabulary.
 
 Arrow functions return lengths only, never token ids. Texts are encoded in batches of
-about BATCH bytes. A text above SPLIT bytes is cut where the tokenizer's pattern can't
+about BATCH bytes. A text above SPLIT characters is cut where the tokenizer's pattern can't
 have a piece that spans the cut: before a single blank that stands between a sign other
 than white space and a letter. So its parts' counts add up to the whole text's count.
 """
@@ -45,13 +45,13 @@ def encoding(vocabulary: bytes):
 
 
 def batches_of(texts: list[str | None], limit: int = BATCH) -> Iterator[tuple[list[str], list[int]]]:
-    """Parts of the texts and the rows they are of, in batches of about ``limit`` characters."""
+    """Parts of the texts and the rows they are of, in batches of about ``limit`` bytes."""
     held, rows, size = [], [], 0
     for row, text in enumerate(texts):
         for p in parts(text or ""):
             held.append(p)
             rows.append(row)
-            size += len(p)
+            size += len(p) if p.isascii() else len(p.encode())
             if size >= limit:
                 yield held, rows
                 held, rows, size = [], [], 0
@@ -83,4 +83,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         counts[row] += len(ids)
             yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, n_tokens long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long")

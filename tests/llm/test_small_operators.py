@@ -42,6 +42,15 @@ def test_chat_equals_sql_with_clashing_names(spark):
     assert chat.format_chats(long).collect()[0].n_messages == 2000
 
 
+def test_long_conversations_and_roles_with_line_ends(spark):
+    df = spark.range(100_000).selectExpr("1L as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    (r,) = chat.format_chats(df).collect()
+    assert (r.n_turns, r.n_messages) == (100_000, 66_667) and r.formatted.startswith("<|im_start|>user\nt0<|im_end|>\n<|im_start|>assistant\nt1\nt2<|im_end|>")
+    odd = spark.createDataFrame([("c", 0, "user\nassistant", "x"), (None, 1, "user", "a"), (None, 2, "user", "b")], "conv_id string, turn long, role string, text string")
+    got = sorted((r.conv_id or "", r.formatted) for r in chat.format_chats(odd).collect())
+    assert got == [("", "<|im_start|>user\na<|im_end|>\n"), ("", "<|im_start|>user\nb<|im_end|>\n"), ("c", "<|im_start|>user assistant\nx<|im_end|>\n")]
+
+
 # -- mixing
 def mixed(docs_of, n=400):
     rng = random.Random(7)
@@ -74,6 +83,14 @@ def test_take_mix_takes_what_mix_admits(docs_of, odd_docs):
     assert mixing.mix(odd_docs, budget_tokens=0).filter("n_tokens > 0").count() == 0
 
 
+def test_ranges_are_parted_until_few_rows_are_left(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "SORTED", 3)
+    monkeypatch.setattr(mixing, "RANGES", 4)
+    d = mixed(docs_of)
+    want, cols = by_sql(mixing.ORACLE, documents=d)
+    assert rows_of(mixing.mix(d).select(*cols)) == want
+
+
 # -- sharding
 def test_shards_equal_sql_and_balance(docs_of, spark):
     rng = random.Random(1)
@@ -100,6 +117,20 @@ def test_rebalancing_moves_few_slots(spark, docs_of):
         m.write(m.read(1), 1)
 
 
+def test_a_map_is_kept_until_it_is_out_of_balance(docs_of, tmp_path):
+    rng = random.Random(4)
+    d = docs_of([(k, "x" * rng.randint(50, 200), "en", "s", 0) for k in range(5000)])
+    path = f"file://{tmp_path}/map"
+    version = lambda df, n=8: {(r.map_version, r.doc_id, r.slot, r.shard) for r in sharding.shard(df, n, path=path).collect()}
+    one, again = version(d), version(d)
+    assert one == again and {v for v, *_ in one} == {1}
+    grown = d.unionByName(docs_of([(k, "y" * 3000, "en", "s", 0) for k in range(300)]))
+    more = version(grown)
+    assert {v for v, *_ in more} == {2} and len({s for _, _, _, s in version(grown, 9)}) == 9
+    at = {i: (slot, s) for _, i, slot, s in one}
+    assert all(at[i][0] == slot for _, i, slot, _ in more) and 0 < sum(at[i][1] != s for _, i, _, s in more if i >= 300) < 3000
+
+
 def test_shard_odd_rows(odd_docs, docs_of):
     wide = odd_docs.selectExpr("*", "1 as slot", "2 as new_slot", "3 as shard", "4 as version")
     out = sharding.shard(wide)
@@ -118,6 +149,9 @@ def test_token_counts_equal_whole_encoding(docs_of, odd_docs):
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs_of(rows)).collect()}
     assert got == {d: None if t is None else len(enc.encode_ordinary(t)) for d, t in rows}
     assert len(list(token_counts.parts(text))) > 3 and "".join(token_counts.parts(text)) == text
+    assert sum(len(x) for x, _ in token_counts.batches_of(["é" * 600, "b"] * 4, 1000)) == 8 and len(list(token_counts.batches_of(["é" * 600] * 4, 1000))) == 4
+    named = docs_of(rows).selectExpr("concat('doc-', doc_id) as doc_id", "text")
+    assert {r.doc_id for r in token_counts.count_tokens(named).collect()} == {f"doc-{k}" for k in range(1, 7)}
     wide = odd_docs.selectExpr("*", "1 as t", "2 as d", "3 as n_tokens")
     assert token_counts.count_tokens(wide).count() == wide.count() and token_counts.count_tokens(docs_of([])).count() == 0
 
