@@ -34,18 +34,18 @@ from tessera.llm.shared import written
 from tessera.llm.words import WORD, U, Words, _classes, _tables, mix, pieces, text_bytes, tokens
 
 #: Words that have vectors of their own.
-VOCABULARY = 65_536
+VOCABULARY = 50_000
 #: The most frequent of these are symbols; the others are parted among so many groups.
-HEAD, GROUPS = 254, 256
+HEAD, GROUPS = 126, 160
 #: Classes of all words beyond the vocabulary.
-CLASSES = 64
+CLASSES = 32
 #: A word counted as often has a probability of its own in its class; rarer ones are spelled.
 LEAST = 2
 BEGIN = 0
 CONTEXT = 2
-DIMS = 24
+DIMS = 16
 NOISE = 32
-BATCH = 2048
+BATCH = 4096
 RATE = 0.15
 ROUNDS = 3
 #: Input partitions that one training task takes at most.
@@ -184,7 +184,7 @@ class Trainer:
         self.square = [np.full_like(a, 1e-4 if k in (1, 2, 3) else 1e-6) for k, a in enumerate(self.p.arrays())]
         self.rate, self.rng = rate, np.random.default_rng(seed)
         self.symbol_noise = Noise(v.symbol_share, noise)
-        self.word_noise = Noise(v.share[1 + v.head : 1 + v.words], 2 * noise)
+        self.word_noise = Noise(v.share[1 + v.head : 1 + v.words], noise)
         self.seen = 0
 
     def _contrast(self, h: np.ndarray, x: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: Noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,10 +231,16 @@ class Trainer:
 
 def _log_sums(s: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of exp of each row; ``s`` is used up."""
-    top = s.max(axis=1, keepdims=True)
-    s -= top
+    # Scores are near log probabilities, as noise contrast trains them: the largest is only needed if one isn't.
+    top = s.max() if s.size else 0.0
+    if top > 60:
+        top = s.max(axis=1, keepdims=True)
+        s -= top
+        top = top[:, 0]
+    else:
+        top = 0.0
     np.exp(s, out=s)
-    return np.log(s.sum(axis=1)) + top[:, 0]
+    return np.log(s.sum(axis=1)) + top
 
 
 class Scorer:
@@ -316,16 +322,17 @@ def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
 def symbols_of(counts: DataFrame, size: int, classes: int, head: int = HEAD, groups: int = GROUPS) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of ``counts`` (by ``count_words``): the most frequent words, equally
     frequent ones by hash. And ``counts`` with ``top``: whether a word is in it."""
-    top = counts.orderBy(F.desc("c"), "k").limit(size).select("k", "c", "g", F.expr("substring(w, -8, 8)").alias("e")).collect()
+    # Each task keeps ``size`` words, one task those of all.
+    top = counts.orderBy(F.desc("c"), "k").limit(size).select("k", "c", "g", F.expr("substring(w, -8, 8)").alias("e")).toArrow()
+    k, c, g = (top.column(x).to_numpy() for x in ("k", "c", "g"))
     rest = np.zeros(classes)
     for r in counts.groupBy("g").agg(F.sum("c").alias("c")).collect():
         rest[r["g"]] = r["c"]
-    for r in top:
-        rest[r["g"]] -= r["c"]
+    rest -= np.bincount(g, c, classes)
     # At most ``size`` rows.
-    known = counts.sparkSession.createDataFrame(pa.table({"k": pa.array([r["k"] for r in top], pa.int64()), "top": pa.array([True] * len(top), pa.bool_())}))
+    known = counts.sparkSession.createDataFrame(pa.table({"k": pa.array(k, pa.int64()), "top": pa.array(np.ones(len(k), bool))}))
     marked = counts.join(F.broadcast(known), "k", "left").withColumn("top", F.col("top").isNotNull())
-    return Vocabulary([(r["k"], r["c"], bytes(r["e"])) for r in top], rest, head, groups), marked
+    return Vocabulary(list(zip(k.tolist(), c.tolist(), top.column("e").to_pylist(), strict=True)), rest, head, groups), marked
 
 
 EDGE = 256
