@@ -8,10 +8,15 @@ from urllib.parse import quote, urljoin
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TRACKING = tuple(
-    "utm_" + x for x in ("source", "medium", "campaign", "term", "content", "id")
-) + ("gclid", "gclsrc", "dclid", "fbclid", *("fb_" + x for x in ("action_ids", "action_types", "source", "ref")), "msclkid", "twclid", "ref", "referer", "referrer", "mc_cid", "mc_eid", "_ga", "_gl")
-PLACEHOLDERS = tuple(f"{a}.{b}" for a in ("pixel", "blank", "spacer") for b in ("png", "gif")) + ("1x1.", "data:image")
+# fmt: off
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "gclsrc", "dclid", "fbclid", "fb_action_ids", "fb_action_types",
+    "fb_source", "fb_ref", "msclkid", "twclid", "ref", "referer", "referrer", "mc_cid", "mc_eid", "_ga", "_gl",
+)
+PLACEHOLDERS = (
+    "pixel.png", "pixel.gif", "blank.png", "blank.gif", "spacer.png", "spacer.gif", "1x1.", "data:image",
+)
+# fmt: on
 
 _BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 _SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
