@@ -229,18 +229,17 @@ class Trainer:
             self.step(x[i : i + batch], before[i : i + batch])
 
 
-def _log_sums(s: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of exp of each row; ``s`` is used up."""
-    # Scores are near log probabilities, as noise contrast trains them: the largest is only needed if one isn't.
-    top = s.max() if s.size else 0.0
-    if top > 60:
-        top = s.max(axis=1, keepdims=True)
-        s -= top
-        top = top[:, 0]
-    else:
-        top = 0.0
-    np.exp(s, out=s)
-    return np.log(s.sum(axis=1)) + top
+def _log_sums(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp of each row of ``h @ w``."""
+    s = h @ w
+    # Scores are near log probabilities, as noise contrast trains them, so that exp overflows hardly ever.
+    with np.errstate(over="ignore"):
+        z = np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype)
+    if np.isfinite(z).all() and (z > 0).all():
+        return np.log(z)
+    s = (h @ w).astype(np.float64)
+    top = s.max(axis=1, keepdims=True)
+    return np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
 
 
 class Scorer:
@@ -248,8 +247,11 @@ class Scorer:
 
     def __init__(self, p: Parameters, v: Vocabulary):
         self.p, self.v = p, v
+        # The bias is one more dimension, so that a matrix product adds it.
+        self.symbol = np.ascontiguousarray(np.column_stack((p.symbol, p.symbol_bias)).T)
+        self.word = np.ascontiguousarray(np.column_stack((p.word, p.word_bias)).T)
 
-    def log_probs(self, x: np.ndarray, before: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    def log_probs(self, x: np.ndarray, before: np.ndarray, chunk: int = 2048) -> np.ndarray:
         p, v = self.p, self.v
         if not len(x):
             return np.zeros(0)
@@ -258,9 +260,10 @@ class Scorer:
             key = key * len(v.share) + before[:, j]
         _, first, at = np.unique(key, return_index=True, return_inverse=True)
         h = p.hidden(before[first])
-        norm = np.concatenate([_log_sums(h[i : i + chunk] @ p.symbol.T + p.symbol_bias) for i in range(0, len(h), chunk)])
+        h = np.column_stack((h, np.ones(len(h), h.dtype)))
+        norm = np.concatenate([_log_sums(h[i : i + chunk], self.symbol) for i in range(0, len(h), chunk)])
         s = v.symbol[x]
-        out = np.einsum("ij,ij->i", h[at], p.symbol[s]) + p.symbol_bias[s] - norm[at]
+        out = np.einsum("ij,ij->i", h[at, :-1], p.symbol[s]) + p.symbol_bias[s] - norm[at]
         # Words of one group share a matrix product.
         w = x - 1 - v.head
         rows = np.flatnonzero((w >= 0) & (x <= v.words))
@@ -268,14 +271,15 @@ class Scorer:
             g = v.group[w[rows]]
             order = np.argsort(g, kind="stable")
             rows, g = rows[order], g[order]
+            near, w = h[at[rows]], w[rows]
+            own = np.einsum("ij,ij->i", near[:, :-1], p.word[w]) + p.word_bias[w]
             cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                lo, hi = v.edges[g[a]], v.edges[g[a] + 1]
+                part = self.word[:, v.edges[g[a]] : v.edges[g[a] + 1]]
                 for i in range(a, b, chunk):
-                    r = rows[i : min(b, i + chunk)]
-                    scores = h[at[r]] @ p.word[lo:hi].T + p.word_bias[lo:hi]
-                    own = scores[np.arange(len(r)), w[r] - lo].copy()
-                    out[r] += own - _log_sums(scores)
+                    j = min(b, i + chunk)
+                    own[i:j] -= _log_sums(near[i:j], part)
+            out[rows] += own
         return out
 
 
