@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import url as U
 from tessera.operators import pages as P
+from tessera.session import written
 
 
 @dataclass(frozen=True)
@@ -44,25 +45,48 @@ def admit(found: DataFrame, visited: DataFrame, order: tuple[str, ...] = ("depth
     return new.join(visited.select("url"), "url", "left_anti")
 
 
-def levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 1, same_domain: bool = True, max_urls: int = 0) -> DataFrame:
+def levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 1, same_domain: bool = True, max_urls: int = 0, numbered: bool = True) -> DataFrame:
     """(url, depth, seq): breadth first over ``edges`` (src, dst, pos) from ``seeds`` (url, seq).
 
-    URLs of both tables are normalised; each is given once, at its least depth."""
-    e = edges.select(U.normalize(F.col("src")).alias("src"), F.col("dst"), "pos")
+    URLs of both tables are normalised once; each is given once, at its least depth. A
+    URL's order is that of the path of places that leads to it, so rows are numbered at the
+    end, or not at all: without ``numbered`` the result is (url, depth)."""
+    spark = edges.sparkSession
+    e = edges.select(U.normalize(F.col("src")).alias("src"), "dst", F.col("pos").cast("long").alias("pos"))
     if same_domain:
         e = e.filter(U.same_domain(F.col("src"), F.col("dst")))
-    e = e.select("src", U.normalize(F.col("dst")).alias("dst"), "pos")
-    now, taken = _numbered(admit(seeds.select("url", F.lit(0).alias("depth"), "seq"), seeds.select("url").limit(0)), 0, max_urls)
-    out = now
-    for depth in range(1, max_depth + 1):
-        if max_urls and taken >= max_urls:
-            break
-        found = now.join(e, now["url"] == e["src"]).select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.struct("seq", "pos").alias("seq"))
-        now, many = _numbered(admit(found, out), taken, max_urls)
+    e = e.select("src", U.normalize(F.col("dst")).alias("dst"), "pos").filter("dst <> ''")
+    e = written(e, "edges")
+
+    def first(found: DataFrame) -> DataFrame:
+        return found.groupBy("url").agg(F.min("path").alias("path"))
+
+    start = seeds.select(U.normalize(F.col("url")).alias("url"), F.array(F.col("seq").cast("long")).alias("path")).filter("url <> ''")
+    now, held, taken = first(start), [], 0
+    for depth in range(max_depth + 1):
+        if depth:
+            found = now.join(e, now["url"] == e["src"]).select(F.col("dst").alias("url"), F.concat("path", F.array("pos")).alias("path"))
+            seen = held[0].select("url")
+            for x in held[1:]:
+                seen = seen.union(x.select("url"))
+            now = first(found).join(seen, "url", "left_anti")
+        if max_urls:
+            now = now.orderBy("path", "url").limit(max_urls - taken)
+        now = written(now, f"level-{depth}")
+        many = now.count()
         if not many:
             break
-        out, taken = out.unionByName(now), taken + many
-    return out
+        held.append(now)
+        taken += many
+        if max_urls and taken >= max_urls:
+            break
+    out = spark.createDataFrame([], "url string, path array<long>, depth int")
+    for depth, x in enumerate(held):
+        x = x.select("url", "path", F.lit(depth).alias("depth"))
+        out = x if not depth else out.unionByName(x)
+    if not numbered:
+        return out.select("url", "depth")
+    return _numbered(out.select("url", "depth", F.struct("depth", "path").alias("seq")), 0)[0]
 
 
 def _numbered(level: DataFrame, before: int, limit: int = 0) -> tuple[DataFrame, int]:
@@ -70,10 +94,11 @@ def _numbered(level: DataFrame, before: int, limit: int = 0) -> tuple[DataFrame,
     to number ``limit``, and how many they are.
 
     The rows are sorted by ranges and counted per partition, so no task sorts the
-    level; only the partitions' counts come to the driver."""
+    level; only the partitions' counts come to the driver. They are written before, as
+    ranges need a pass over them, and after, so that lineage ends."""
     spark = level.sparkSession
-    rows = level.repartitionByRange("seq", "url").sortWithinPartitions("seq", "url").withColumn("m", F.monotonically_increasing_id())
-    rows = _kept(rows)
+    rows = written(level, "found").repartitionByRange("seq", "url").sortWithinPartitions("seq", "url").withColumn("m", F.monotonically_increasing_id())
+    rows = written(rows, "level")
     part = F.shiftrightunsigned("m", 33)
     counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, at = [], before
@@ -88,15 +113,6 @@ def _numbered(level: DataFrame, before: int, limit: int = 0) -> tuple[DataFrame,
     return out, at - before
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Lineage ends here if the session has a folder for it, so that levels don't pile up in the plan."""
-    spark = df.sparkSession
-    folder, set_ = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    if folder and not set_:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if folder or set_ else df.cache()
-
-
 def page_edges(pages: DataFrame, selector: str = "a[href]", pattern: str | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, pos): the links of each page."""
     links = P.extract_links(F.col(html_col), F.col(url_col), P.selector_list(selector) or "a[href]", pattern or None)
@@ -134,7 +150,7 @@ def crawl(seeds: list[str], pages: DataFrame, config: CrawlConfig | None = None,
         rows = rows.withColumn("extract", extract).withColumn("content", F.when(F.col("extract"), P.clean_html(F.col("html"), clean, output="markdown")))
         short = F.col("extract") & ~P.enough_content(F.col("content"), c.min_content)
         error = F.when(F.col("html").isNull(), F.lit("fetch error: not in the snapshot")).when(short, F.lit("insufficient content"))
-        rows = _kept(rows.withColumn("error", error))
+        rows = written(rows.withColumn("error", error), "crawled")
         many = rows.count()
         if not many:
             break

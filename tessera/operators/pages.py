@@ -38,7 +38,8 @@ def _column(ddl: str, fn: Callable[..., object], *cols: Column) -> Column:
         out = [None if x is None else fn(x, *(o[k] for o in others)) for k, x in enumerate(first.to_pylist())]
         return pa.array(out, kind)
 
-    return run(*cols)
+    # Else a filter that Spark infers or pushes below would parse the pages once more.
+    return run.asNondeterministic()(*cols)
 
 
 def clean_html(html: Column, c: str | Config = "default", **changes) -> Column:
@@ -85,6 +86,14 @@ def clean_html_with_stats(html: Column, c: str | Config = "default", **changes)
     return _column(RESULT, lambda h: _as_dict(clean(h, c)), html)
 
 
+def clean_stats(html: Column, c: str | Config = "default", **changes) -> Column:
+    """The statistics alone: the content stays where it is made."""
+    from dataclasses import replace
+
+    c = replace(config(c), **changes)
+    return _column(STATS, lambda h: _as_dict(clean(h, c))["stats"], html)
+
+
 def fetched(html: Column, url: Column) -> Column:
     """Title, text and links of a page as a fetcher gives them: scripts, styles, noscript,
     iframes and drawings left out; links absolute, repeated ones too."""
@@ -211,10 +220,8 @@ def reduction_percent(before: Column, after: Column) -> Column:
 
 def compare_presets(pages: DataFrame, presets: tuple[str, ...] = ("default", "minimal", "aggressive"), id_col: str = "page_id", html_col: str = "html", **changes) -> DataFrame:
     """For each page and preset: bytes in and out, elements removed, reduction."""
-    out = None
-    for p in presets:
-        r = pages.select(F.col(id_col).alias("page_id"), F.lit(p).alias("preset"), clean_html_with_stats(F.col(html_col), p, **changes)["stats"].alias("s"))
-        out = r if out is None else out.unionByName(r)
+    each = F.array(*(F.struct(F.lit(p).alias("preset"), clean_stats(F.col(html_col), p, **changes).alias("s")) for p in presets))
+    out = pages.select(F.col(id_col).alias("page_id"), each.alias("x")).select("page_id", F.explode("x").alias("x")).select("page_id", "x.*")
     removed = F.aggregate(F.map_values("s.elements_removed"), F.lit(0), lambda a, x: a + x)
     return out.select("page_id", "preset", F.col("s.input_bytes").alias("input_bytes"), F.col("s.output_bytes").alias("output_bytes"), removed.alias("removed"), reduction_percent(F.col("s.input_bytes"), F.col("s.output_bytes")).alias("reduction_pct"))
 

@@ -11,7 +11,7 @@ from tessera.functions import text as T
 from tessera.functions import url as U
 from tessera.operators import costs, crawl, extract, pages, relational, schemas
 from tessera.sources import sinks
-from tessera.session import table
+from tessera.session import spread, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,15 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all pages, parsed once, for queries that read them several times."""
+    return written(pages.dom_nodes(page_table(spark, sf_dir)), "nodes")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["clean_text_default"](spark, sf_dir)
 
@@ -56,7 +65,7 @@ NO_AD = f"regexp_replace({BODY}, '(?s)<div class=\"ad\">.*?</div>', '', 'g')"
 # -- URLs
 @query(f"SELECT page_id, {NORM} AS norm FROM pages")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.normalize(F.col("url")).alias("norm"))
+    return page_table(spark, sf_dir).select("page_id", U.normalize(F.col("url")).alias("norm"))
 
 
 @query(
@@ -68,68 +77,76 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT page_id, url, substr(url, length(split_part(url, '?', 1)) + 2) AS rest FROM pages)))"""
 )
 def url_strip_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.strip_tracking_params(F.col("url")).alias("cleaned"))
+    return page_table(spark, sf_dir).select("page_id", U.strip_tracking_params(F.col("url")).alias("cleaned"))
 
 
 @query(f"SELECT {AUTHORITY} AS host, count(*) AS n FROM pages GROUP BY 1")
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(U.authority(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+    return page_table(spark, sf_dir).groupBy(U.authority(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH h AS (SELECT page_id, {AUTHORITY} AS a FROM pages) SELECT x.page_id AS page_id, count(*) AS same FROM h x JOIN h y ON x.a = y.a GROUP BY 1")
 def same_domain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", U.authority(F.col("url")).alias("a"))
+    p = page_table(spark, sf_dir).select("page_id", U.authority(F.col("url")).alias("a"))
     sizes = p.groupBy("a").agg(F.count("*").alias("same"))
     return p.join(sizes, "a").select("page_id", "same")
 
 
 @query(f"SELECT page_id, norm FROM (SELECT page_id, {NORM} AS norm, row_number() OVER (PARTITION BY {NORM} ORDER BY page_id) AS k FROM pages) WHERE k = 1 AND norm <> ''")
 def visited_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("url", F.lit(0).alias("depth"), F.col("page_id").alias("seq"))
+    p = page_table(spark, sf_dir).select("url", F.lit(0).alias("depth"), F.col("page_id").alias("seq"))
     return crawl.admit(p, p.select("url").limit(0)).select(F.col("seq").alias("page_id"), F.col("url").alias("norm"))
 
 
 @query("SELECT page_id, CASE WHEN starts_with(h, '//') THEN 'https:' || h ELSE h END AS shown, regexp_matches(lower(h), 'pixel\\.png|pixel\\.gif|blank\\.png|blank\\.gif|spacer\\.png|spacer\\.gif|1x1\\.|data:image') AS placeholder FROM (" + HREFS + ")")
 def render_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("h"))
+    h = page_table(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("h"))
     return h.select("page_id", U.scheme_added(F.col("h")).alias("shown"), U.placeholder_image(F.col("h")).alias("placeholder"))
 
 
 # -- pages
 @query(f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, link FROM (SELECT page_id, {LINK} AS link, min(k) AS k FROM ({HREFS}) WHERE h <> '' AND NOT starts_with(h, '#') GROUP BY 1, 2)")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = page_table(spark, sf_dir)
     return p.select("page_id", F.posexplode(pages.extract_links(F.col("html"), F.col("url"))).alias("pos", "link"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links_count FROM pages")
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = page_table(spark, sf_dir)
     nodes = pages.dom_nodes(p).filter("tag = 'a'").filter(relational.attribute("href").isNotNull())
     return p.select("page_id").join(nodes.groupBy("page_id").agg(F.count("*").alias("links_count")), "page_id", "left").select("page_id", F.coalesce("links_count", F.lit(0)).alias("links_count"))
 
 
 @query("SELECT page_id, " + plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + " AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", pages.fetched(F.col("html"), F.col("url"))["title"].alias("title"))
+    return page_table(spark, sf_dir).select("page_id", pages.fetched(F.col("html"), F.col("url"))["title"].alias("title"))
 
 
 @query("SELECT page_id, 1 AS level, " + plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + " AS heading FROM pages")
 def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "pages").select("page_id", F.explode(pages.headings(F.col("html"))).alias("h"))
+    h = page_table(spark, sf_dir).select("page_id", F.explode(pages.headings(F.col("html"))).alias("h"))
     return h.select("page_id", F.col("h.level").alias("level"), T.collapse_spaces(F.col("h.text")).alias("heading"))
 
 
 @query(f"SELECT page_id, {plain(BODY)} AS txt FROM pages")
 def fetch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", pages.fetched(F.col("html"), F.col("url"))["text"].alias("txt"))
+    return page_table(spark, sf_dir).select("page_id", pages.fetched(F.col("html"), F.col("url"))["text"].alias("txt"))
 
 
-@query("SELECT page_id, tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(html|head|meta|title|style|script|body|nav|ul|li|a|div|article|h1|footer)[ >]', 1)) AS tag FROM pages) GROUP BY 1, 2")
+# An unclosed <b> opens again in each later block with text, three of them at most, and in the footer.
+_BOLD = """SELECT page_id, CAST(sum(own + CASE WHEN x <> '' THEN least(3, before) ELSE 0 END) AS BIGINT) AS n FROM (
+    SELECT page_id, own, x, sum(own) OVER (PARTITION BY page_id ORDER BY k) - own AS before FROM (
+      SELECT page_id, k, CAST(starts_with(p, '<b>') AS BIGINT) AS own, trim(regexp_replace(p, '<[^>]*>', '', 'g'), chr(10) || chr(9) || chr(13) || chr(12) || ' ') AS x FROM (
+        SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>') AS ps FROM pages)) WHERE k > 1
+      UNION ALL SELECT page_id, 1000000, 0, trim(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)) FROM pages)) GROUP BY 1"""
+
+
+@query(f"""SELECT page_id, tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) WHERE tag <> 'b' GROUP BY 1, 2
+    UNION ALL SELECT page_id, 'b', n FROM ({_BOLD}) WHERE n > 0""")
 def dom_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = ("html", "head", "meta", "title", "style", "script", "body", "nav", "ul", "li", "a", "div", "article", "h1", "footer")
-    n = pages.dom_nodes(table(spark, sf_dir, "pages"))
-    return n.filter(F.col("tag").isin(*tags)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    n = pages.dom_nodes(page_table(spark, sf_dir)).filter("kind = 'element'")
+    return n.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 # -- cleaning
@@ -138,7 +155,7 @@ CLEAN_TEXT = f"SELECT page_id, {plain(NO_AD)} AS txt FROM pages"
 
 @query(f"SELECT page_id, txt, CASE WHEN strlen(html) = 0 THEN 0.0 ELSE CAST(strlen(html) - strlen(txt) AS DOUBLE) / strlen(html) * 100 END AS reduction_pct FROM ({CLEAN_TEXT}) JOIN pages USING (page_id)")
 def clean_text_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("txt", pages.clean_html(F.col("html"), "default", output="text"))
+    p = page_table(spark, sf_dir).withColumn("txt", pages.clean_html(F.col("html"), "default", output="text"))
     return p.select("page_id", "txt", pages.reduction_percent(F.octet_length("html"), F.octet_length("txt")).alias("reduction_pct"))
 
 
@@ -162,7 +179,7 @@ PARTS = f"""SELECT page_id, k, {_entities("p")} AS p FROM (SELECT page_id, unnes
     SELECT page_id, trim(regexp_replace(string_agg(p, '' ORDER BY k), '[\\t\\n\\f\\r ]+', ' ', 'g')) AS txt FROM (SELECT * FROM h UNION ALL SELECT * FROM o) GROUP BY 1"""
 )
 def clean_text_aggressive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", pages.clean_html(F.col("html"), "aggressive", output="text").alias("txt"))
+    return page_table(spark, sf_dir).select("page_id", pages.clean_html(F.col("html"), "aggressive", output="text").alias("txt"))
 
 
 def _fields(s: str) -> str:
@@ -183,7 +200,7 @@ MARKDOWN = f"""WITH a AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(p
 
 @query(MARKDOWN)
 def clean_markdown_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", pages.clean_html(F.col("html"), "default", output="markdown").alias("markdown"))
+    return page_table(spark, sf_dir).select("page_id", pages.clean_html(F.col("html"), "default", output="markdown").alias("markdown"))
 
 
 @query(
@@ -193,7 +210,7 @@ def clean_markdown_default(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM pages JOIN ({MARKDOWN}) USING (page_id)"""
 )
 def clean_markdown_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", pages.clean_html(F.col("html"), "default", output="markdown", frontmatter=True).alias("markdown"))
+    return page_table(spark, sf_dir).select("page_id", pages.clean_html(F.col("html"), "default", output="markdown", frontmatter=True).alias("markdown"))
 
 
 _PHASES = "selectors scripts styles -noscript unwrap_noscript comments svg iframes hidden event_handlers attributes -link_density -short_text -empty whitespace srcset tracking_params -repeated_links -deduplicate -boilerplate"
@@ -205,8 +222,8 @@ _PHASE_ROWS = ", ".join(f"('{x.lstrip('-')}', {str(x[0] != '-').lower()})" for x
       WHEN 'styles' THEN len(regexp_extract_all(html, '<style')) ELSE 0 END AS INTEGER) AS removed FROM pages CROSS JOIN (VALUES {_PHASE_ROWS}) v(phase, enabled)"""
 )
 def clean_html_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "pages").select("page_id", pages.clean_html_with_stats(F.col("html"), "default").alias("r"))
-    return r.select("page_id", F.explode("r.stats.phases").alias("p")).select("page_id", F.col("p.name").alias("phase"), F.col("p.enabled").alias("enabled"), F.col("p.elements_removed").alias("removed"))
+    r = page_table(spark, sf_dir).select("page_id", pages.clean_stats(F.col("html"), "default")["phases"].alias("p"))
+    return r.select("page_id", F.explode("p").alias("p")).select("page_id", F.col("p.name").alias("phase"), F.col("p.enabled").alias("enabled"), F.col("p.elements_removed").alias("removed"))
 
 
 @query(
@@ -214,14 +231,14 @@ def clean_html_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "UNION ALL SELECT page_id, 'script', CAST(len(regexp_extract_all(html, '<script')) AS INTEGER) FROM pages UNION ALL SELECT page_id, 'style', CAST(len(regexp_extract_all(html, '<style')) AS INTEGER) FROM pages) WHERE n > 0"
 )
 def removed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "pages").select("page_id", pages.clean_html_with_stats(F.col("html"), "default")["stats"].alias("s"))
+    r = page_table(spark, sf_dir).select("page_id", pages.clean_stats(F.col("html"), "default").alias("s"))
     ph = r.select("page_id", F.explode("s.phases").alias("p")).select("page_id", F.explode("p.details").alias("sel", "n"))
     return ph.filter(F.col("sel").isin(".ad", "script", "style"))
 
 
 @query(f"SELECT page_id, 'default' AS preset, CAST(strlen(html) AS BIGINT) AS input_bytes, CAST(strlen(txt) AS BIGINT) AS output_bytes FROM pages JOIN ({CLEAN_TEXT}) USING (page_id) UNION ALL SELECT page_id, 'minimal', CAST(strlen(html) AS BIGINT), CAST(strlen({plain(BODY)}) AS BIGINT) FROM pages")
 def preset_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.compare_presets(table(spark, sf_dir, "pages"), ("default", "minimal"), output="text").select("page_id", "preset", "input_bytes", "output_bytes")
+    return pages.compare_presets(page_table(spark, sf_dir), ("default", "minimal"), output="text").select("page_id", "preset", "input_bytes", "output_bytes")
 
 
 NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
@@ -231,19 +248,19 @@ NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
     s AS (SELECT page_id, sum(strlen(trim({_entities("a")}))) AS x FROM n GROUP BY 1)
     SELECT page_id, CAST(coalesce(x, 0) AS DOUBLE) / t AS density FROM (SELECT page_id, strlen(trim({_entities("regexp_replace(" + NAV + ", '<[^>]*>', '', 'g')")}, chr(10) || chr(9) || ' ')) AS t FROM pages) LEFT JOIN s USING (page_id) WHERE t > 0""")
 def link_density_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = pages.dom_nodes(table(spark, sf_dir, "pages"))
+    n = page_nodes(spark, sf_dir)
     return relational.link_density(n).filter("tag = 'nav'").select("page_id", F.col("density").cast("double").alias("density"))
 
 
 @query(f"SELECT page_id, count(*) AS repeated FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id, trim(split_part(h, '#', 1)) ORDER BY k) AS r FROM ({HREFS}) WHERE h NOT IN ('', '#')) WHERE r > 1 GROUP BY 1")
 def repeated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = pages.dom_nodes(table(spark, sf_dir, "pages"))
+    n = page_nodes(spark, sf_dir)
     return relational.repeated_link_matches(n).groupBy("page_id").agg(F.count("*").alias("repeated"))
 
 
 @query(f"SELECT page_id, {plain(BODY)} AS txt FROM pages")
 def relational_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = pages.dom_nodes(table(spark, sf_dir, "pages"))
+    n = page_nodes(spark, sf_dir)
     return relational.page_texts(relational.drop_subtrees(n, relational.tag_matches(n, "script", "style"))).withColumnRenamed("text", "txt")
 
 
@@ -255,9 +272,9 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, count(*) AS repeated FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, x ORDER BY k) AS r FROM (SELECT doc_id, k, trim(line, chr(9) || chr(13) || ' ') AS x FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE strlen(x) >= 15) WHERE r > 1 GROUP BY 1")
 def text_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    x = lines.select("doc_id", "k", T.trim_text(F.col("line")).alias("x")).filter(F.octet_length("x") >= 15)
-    return x.withColumn("r", F.expr("row_number() over (partition by doc_id, x order by k)")).filter("r > 1").groupBy("doc_id").agg(F.count("*").alias("repeated"))
+    x = F.filter(F.transform(F.split("text", "\n"), T.trim_text), lambda line: F.octet_length(line) >= 15)
+    d = table(spark, sf_dir, "documents").select("doc_id", x.alias("x"))
+    return d.select("doc_id", (F.size("x") - F.size(F.array_distinct("x"))).cast("long").alias("repeated")).filter("repeated > 0")
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE text[:list_max(list_filter(range(250, 1001), lambda k: strlen(text[:k]) <= 1000))] || chr(10) || chr(10) || '[Content truncated due to length...]' END AS cut FROM documents")
@@ -286,7 +303,7 @@ _VALUES = ", ".join("({}, '{}', '{}')".format(*r) for r in CHALLENGES)
       WHEN contains(h, 'google.com/recaptcha') OR contains(h, 'g-recaptcha') THEN 'recaptcha' WHEN contains(t, 'access denied') OR contains(t, 'blocked') OR contains(t, 'bot detection') OR contains(h, 'robot or human') THEN 'anti-bot' ELSE '' END AS kind FROM l"""
 )
 def challenge_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", pages.fetched(F.col("html"), F.col("url"))["title"].alias("title"), "html")
+    p = page_table(spark, sf_dir).select("page_id", pages.fetched(F.col("html"), F.col("url"))["title"].alias("title"), "html")
     p = p.union(spark.createDataFrame(list(CHALLENGES), "page_id long, title string, html string"))
     return p.select("page_id", pages.challenge_class(F.col("title"), F.col("html")).alias("kind"))
 
@@ -405,15 +422,15 @@ _EDGES = """SELECT 'http://h/n/' || n_nationkey AS src, 'http://h/c/' || c_custk
 
 
 @query(
-    f"""WITH RECURSIVE e AS ({_EDGES}), r(url, depth) AS (SELECT 'http://h/n/' || n_nationkey, 0 FROM nation WHERE n_nationkey < 3
+    f"""WITH RECURSIVE e AS ({_EDGES}), r(url, depth) AS (SELECT 'http://h/n/' || n_nationkey, 0 FROM nation
       UNION SELECT dst, depth + 1 FROM r JOIN e ON url = src WHERE depth < 3 AND starts_with(dst, 'http://h/'))
     SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1"""
 )
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in ("nation", "customer", "orders"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-    seeds = spark.sql("SELECT 'http://h/n/' || n_nationkey AS url, n_nationkey AS seq FROM nation WHERE n_nationkey < 3")
-    return crawl.levels(seeds, spark.sql(_EDGES), max_depth=3).select("url", "depth")
+    seeds = spark.sql("SELECT 'http://h/n/' || n_nationkey AS url, n_nationkey AS seq FROM nation")
+    return crawl.levels(seeds, spark.sql(_EDGES), max_depth=3, numbered=False)
 
 
 # -- extraction and sinks
@@ -422,7 +439,7 @@ RULES = extract.RuleExtractor({"title": "article > h1", "links": "nav a@href"})
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = page_table(spark, sf_dir)
     return p.select("page_id", "url", extract.extracted(pages.clean_html(F.col("html")), RULES, PAGE_SCHEMA).alias("r")).select("page_id", "url", "r.*")
 
 
@@ -435,26 +452,40 @@ def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", T.collapse_spaces(F.col("d.title")).alias("title"), F.size("d.links").cast("long").alias("links"))
 
 
-@query("SELECT url, page_id, 'rules' AS model, 'rules' AS provider, CAST(NULL AS INTEGER) AS retry_count FROM pages")
+_TITLE = plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
+
+
+@query(f"""SELECT url, 'rules' AS model, 'rules' AS provider, CAST(NULL AS INTEGER) AS retry_count, {_TITLE} AS title, coalesce(n, 0) AS links
+    FROM pages LEFT JOIN (SELECT page_id, count(*) AS n FROM ({HREFS}) GROUP BY 1) USING (page_id)""")
 def envelope_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _results(spark, sf_dir)
     r = r.withColumn("fetched_at", F.lit(None).cast("timestamp")).withColumn("fetch_duration_ms", F.lit(0)).withColumn("extract_duration_ms", F.lit(0))
-    env = sinks.envelope(r).select("_metadata.url", "_metadata.model", "_metadata.provider", "_metadata.retry_count")
-    return env.join(table(spark, sf_dir, "pages").select("url", "page_id"), "url").select("url", "page_id", "model", "provider", "retry_count").distinct()
+    env = sinks.envelope(r)
+    e = env.select(F.from_json(sinks.jsonl_column(env), "_metadata struct<url:string,model:string,provider:string,retry_count:int>, data struct<title:string,links:array<string>>").alias("x"))
+    return e.select("x._metadata.url", "x._metadata.model", "x._metadata.provider", "x._metadata.retry_count", T.collapse_spaces(F.col("x.data.title")).alias("title"), F.size("x.data.links").cast("long").alias("links"))
 
 
-@query("SELECT url, true AS has_input FROM pages")
+@query(f"SELECT url, strlen(trim({_TITLE})) > 0 AS has_title, contains(html, '<article>') AS has_article, {_TITLE} AS title FROM pages")
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.training_pairs(_results(spark, sf_dir)).select("url", (F.length("input") > 0).alias("has_input"))
+    t = sinks.training_pairs(_results(spark, sf_dir))
+    title = T.collapse_spaces(F.get_json_object("output", "$.title"))
+    return t.select("url", (F.length(title) > 0).alias("has_title"), F.col("input").contains("<article>").alias("has_article"), title.alias("title"))
+
 
+_PROMPT = (schemas.PROMPT + "## Content Type\nA page\n\n## Fields to Extract\n- title (string, required)\n- links (array)\n").replace("'", "''")
 
-@query(f"SELECT page_id, starts_with(p, 'Extract structured data') AND contains(p, 'title (string, required)') AS ok, strlen(p) AS n FROM (SELECT page_id, {chr(39)}{(schemas.PROMPT + PAGE_SCHEMA.prompt_description()).replace(chr(39), chr(39) * 2)}{chr(39)} || chr(10) || '## Webpage Content' || chr(10) || '```' || chr(10) || txt || chr(10) || '```' || chr(10) AS p FROM ({CLEAN_TEXT}))")
+
+@query(f"SELECT page_id, '{_PROMPT}' || chr(10) || '## Webpage Content' || chr(10) || '```' || chr(10) || txt || chr(10) || '```' || chr(10) AS prompt FROM ({CLEAN_TEXT})")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", schemas.prompt(pages.clean_html(F.col("html"), output="text"), PAGE_SCHEMA).alias("p"))
-    return p.select("page_id", (F.startswith("p", F.lit("Extract structured data")) & F.contains("p", F.lit("title (string, required)"))).alias("ok"), F.octet_length("p").cast("long").alias("n"))
+    return page_table(spark, sf_dir).select("page_id", schemas.prompt(pages.clean_html(F.col("html"), output="text"), PAGE_SCHEMA).alias("prompt"))
 
 
-@query("SELECT conv_id, trim('{\"turn\": ' || turn || '}') AS record FROM conversations")
+@query("SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 2 THEN '``' || trim(text) ELSE trim(text) END AS record FROM conversations")
 def answer_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit(' ```json\n{"turn": '), F.col("turn").cast("string"), F.lit("}\n```  ")).alias("a"))
-    return c.select("conv_id", T.strip_code_fence(F.col("a")).alias("record"))
+    """Texts in fences with and without a language, and texts that only look like that."""
+    which, t = (F.col("conv_id") + F.col("turn")) % 3, F.trim("text")
+    a = F.when(which == 0, F.concat(F.lit(" ```json\n"), t, F.lit("\n```  "))).when(which == 1, F.concat(F.lit("```\n"), t, F.lit("```"))).otherwise(F.concat(F.lit("``"), t, F.lit(" ")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_code_fence(a).alias("record"))
+
+
+from tessera.plans import cases  # noqa: E402, F401  (registers its queries)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,27 +13,60 @@ from pyspark.sql import functions as F
 FORMATS = ("json", "jsonl", "yaml")
 
 
-def _items(df: DataFrame) -> list[Any]:
-    """Rows as plain values. JSON and YAML documents are one file, so made on the driver."""
-    return [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator()]
+def json_column(df: DataFrame) -> Column:
+    """Each row as JSON, nulls too; of ``_metadata`` only a null retry_count is left out."""
+    row = lambda **new: F.to_json(F.struct(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns)), {"ignoreNullFields": "false"})
+    kind = df.schema["_metadata"].dataType if "_metadata" in df.columns else None
+    if kind is None or "retry_count" not in kind.fieldNames():
+        return row()
+    m = F.col("_metadata")
+    return F.when(m["retry_count"].isNull(), row(_metadata=m.dropFields("retry_count"))).otherwise(row())
 
 
-def json_text(items: list[Any], pretty: bool = True, indent: int = 2) -> str:
-    """One item bare, several as an array, none as []."""
-    value = items[0] if len(items) == 1 else items
-    if pretty:
-        return json.dumps(value, indent=indent, ensure_ascii=False) + "\n"
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":")) + "\n"
+def _items(df: DataFrame) -> Iterator[Any]:
+    """Rows as plain values, a partition at a time. JSON and YAML documents are one file, so made on the driver."""
+    return (json.loads(r[0]) for r in df.select(json_column(df)).toLocalIterator())
 
 
-def yaml_text(items: list[Any]) -> str:
+def json_parts(items: Iterable[Any], pretty: bool = True, indent: int = 2) -> Iterator[str]:
+    """One item bare, several as an array, none as [], in pieces as the items come."""
+    dump = lambda x: json.dumps(x, indent=indent, ensure_ascii=False) if pretty else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    it, none = iter(items), object()
+    one, two = next(it, none), next(it, none)
+    if two is none:
+        yield dump([] if one is none else one) + "\n"
+        return
+    pad, gap = (" " * indent, "\n") if pretty else ("", "")
+    inner = lambda x: gap + "".join(pad + line for line in dump(x).splitlines(keepends=True)) if pretty else dump(x)
+    yield "[" + inner(one)
+    for x in chain([two], it):
+        yield "," + inner(x)
+    yield gap + "]\n"
+
+
+def json_text(items: Iterable[Any], pretty: bool = True, indent: int = 2) -> str:
+    return "".join(json_parts(items, pretty, indent))
+
+
+def yaml_parts(items: Iterable[Any]) -> Iterator[str]:
     import yaml
 
-    return yaml.safe_dump(items[0] if len(items) == 1 else items, sort_keys=False, allow_unicode=True, indent=2)
+    dump = lambda x: yaml.safe_dump(x, sort_keys=False, allow_unicode=True, indent=2)
+    it, none = iter(items), object()
+    one, two = next(it, none), next(it, none)
+    if two is none:
+        yield dump([] if one is none else one)
+        return
+    for x in chain([one, two], it):
+        yield dump([x])
+
+
+def yaml_text(items: Iterable[Any]) -> str:
+    return "".join(yaml_parts(items))
 
 
 def jsonl_column(df: DataFrame) -> Column:
-    return F.to_json(F.struct(*df.columns))
+    return json_column(df)
 
 
 def write(df: DataFrame, path: str, form: str = "json", pretty: bool = True, indent: int = 2, mode: str = "errorifexists") -> None:
@@ -41,9 +76,8 @@ def write(df: DataFrame, path: str, form: str = "json", pretty: bool = True, ind
         return
     if form not in FORMATS:
         raise ValueError(f"unknown output format: {form}")
-    text = json_text(_items(df), pretty, indent) if form == "json" else yaml_text(_items(df))
     with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+        f.writelines(json_parts(_items(df), pretty, indent) if form == "json" else yaml_parts(_items(df)))
 
 
 def envelope(results: DataFrame) -> DataFrame:

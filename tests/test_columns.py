@@ -238,9 +238,17 @@ def test_sinks(spark, tmp_path):
     assert sinks.json_text([{"a": 1}], pretty=False) == '{"a":1}\n' and sinks.json_text([]) == "[]\n" and sinks.yaml_text([{"b": 1, "a": [2]}]) == "b: 1\na:\n- 2\n"
     df = spark.createDataFrame([(1, "é"), (2, None)], "a int, b string")
     sinks.write(df, f"{tmp_path}/x.json", "json", pretty=False)
-    assert open(f"{tmp_path}/x.json", encoding="utf-8").read() == '[{"a":1,"b":"é"},{"a":2}]\n'
+    assert open(f"{tmp_path}/x.json", encoding="utf-8").read() == '[{"a":1,"b":"é"},{"a":2,"b":null}]\n'
     sinks.write(df, f"{tmp_path}/x.jsonl", "jsonl")
-    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/x.jsonl").collect()) == ['{"a":1,"b":"é"}', '{"a":2}']
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/x.jsonl").collect()) == ['{"a":1,"b":"é"}', '{"a":2,"b":null}']
+    sinks.write(df, f"{tmp_path}/x.yaml", "yaml")
+    assert open(f"{tmp_path}/x.yaml", encoding="utf-8").read() == "- a: 1\n  b: é\n- a: 2\n  b: null\n"
+    import json
+
+    for items in ([], [{"a": [1, {"b": None}]}], [{"a": "x\ny"}, [], {}, 3], [1, 2]):
+        for pretty in (True, False):
+            want = json.dumps(items[0] if len(items) == 1 else items, indent=2, ensure_ascii=False) if pretty else json.dumps(items[0] if len(items) == 1 else items, ensure_ascii=False, separators=(",", ":"))
+            assert sinks.json_text(items, pretty) == want + "\n"
     with pytest.raises(ValueError):
         sinks.write(df, "x", "csv")
 
