@@ -8,6 +8,8 @@ subsequence. A template's coverage is the part of its words that are aligned.
 Before that, exact bounds rule out most of the work: coverage c of a template of m
 words leaves at most m - ceil(c m) of its words out, so one of any set of more words
 than that must be in the text, and the stretch of text must hold that many of its words.
+One more word aligns one more at most, so a stretch that lacks n is tried again when n
+more of the template's words have come: work follows the text's length, whatever its words.
 """
 
 from __future__ import annotations
@@ -32,6 +34,19 @@ FRAME = "a an and are in into is of the this to under version work v 0 distribut
 #: An aligned stretch may be this many times as long as the template.
 STRETCH = 1.5
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
+    "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+    "provided with the distribution."
+)
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -44,6 +59,17 @@ TEMPLATES = {
     '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
     "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
+    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE.",
+    "BSD-2-Clause": f"{_BSD} {_DISCLAIMER}",
+    "BSD-3-Clause": f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+    f"this software without specific prior written permission. {_DISCLAIMER}",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
     "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
@@ -51,6 +77,17 @@ TEMPLATES = {
     "BSD": "Released under the BSD License",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
     "above copyright notice and this permission notice appear in all copies.",
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+    'above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
+    "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+    "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+    "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+    "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the "
+    "original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered "
+    "source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from "
+    "any source distribution.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
@@ -160,7 +197,7 @@ def alignments(template: list, text: list, least: int, first: int = 0, end: int
     while begin < len(places):
         best: list[tuple[int, int]] = []
         inside: Counter = Counter()
-        lo, common = begin, 0
+        lo, common, wait = begin, 0, 0
         for hi in range(begin, len(places)):
             p = places[hi]
             x = text[p]
@@ -174,7 +211,8 @@ def alignments(template: list, text: list, least: int, first: int = 0, end: int
             if best and places[lo] > best[-1][1]:
                 break
             # ``common`` bounds what this stretch can align.
-            if common >= least and common > len(best):
+            wait -= 1
+            if common >= least and common > len(best) and wait <= 0:
                 found = [(i, places[lo] + j) for i, j in patience(template, text[places[lo] : p + 1])]
                 if len(found) > len(best) and len(found) >= least and telling <= {i for i, _ in found}:
                     if best and found[0][1] > best[-1][1]:
@@ -182,6 +220,7 @@ def alignments(template: list, text: list, least: int, first: int = 0, end: int
                     best = found
                     if len(best) == len(template):
                         break
+                wait = max(least, len(best) + 1) - len(found)
         if not best:
             break
         out.append(best)
@@ -216,7 +255,7 @@ class Scanner:
         self.of = [sorted(keys[int(h)]) for h in self.keys]
 
     def scan(self, col: pa.Array) -> list[tuple[int, str, int, int, int, int]]:
-        """(row, template, aligned, words, first byte, end) of every template that a row covers."""
+        """(row, template, aligned, words, first byte, end) of every stretch of a row that covers a template."""
         w = tokens(col)
         if len(w.hash) == 0 or len(self.keys) == 0:
             return []
@@ -229,11 +268,7 @@ class Scanner:
             by_row.setdefault(r, []).append(k)
         for r, ks in sorted(by_row.items()):
             text = w.hash[first[r] : first[r + 1]].tolist()
-            best: dict[int, tuple] = {}
-            for cover, size, k, js in self.resolved(text, ks):
-                if k not in best or (-cover, js[0]) < (-best[k][0], best[k][2][0]):
-                    best[k] = (cover, size, js)
-            for k, (_, size, js) in best.items():
+            for _, size, k, js in sorted(self.resolved(text, ks), key=lambda x: (x[3], self.names[x[2]])):
                 out.append((r, self.names[k], size, len(self.words[k]), int(w.start[first[r] + js[0]]), int(w.end[first[r] + js[1]])))
         return out
 
@@ -268,14 +303,14 @@ class Scanner:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, span_start, span_end): each template of which a text
-    aligns at least ``coverage``, by its best stretch; places count characters from 0.
+    """(doc_id, license, coverage, span_start, span_end): each stretch of a text that aligns
+    at least ``coverage`` of a template; places count characters from 0.
 
     * Case, punctuation and spacing are ignored. A text may match several templates, each
       in several stretches; of stretches that overlap, that of the highest coverage (then
       with more words, then of the first template by name) counts.
     * A template of few words must have its license's name, kind and version aligned.
-    * A license repeated in a text gives one row, for the first of the best stretches.
+    * A license repeated in a text gives a row for each stretch.
     * Null and empty texts match nothing. Repeated rows and ids each give their own
       rows; a null id stays null. Long texts are scanned whole.
     * Other columns are not read. An empty table gives no rows.
@@ -298,4 +333,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     ["doc_id", "license", "coverage", "span_start", "span_end"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, license string, coverage double, span_start int, span_end int")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, license string, coverage double, span_start int, span_end int")
