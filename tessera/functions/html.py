@@ -77,16 +77,38 @@ class Node:
             if n.children:
                 todo.extend(reversed(n.children))
 
+    # These three are where most visits are, so they have loops of their own.
     def elements(self) -> list[Node]:
-        return [n for n in self.walk() if n.tag[0] != "#"]
+        out, todo = [], self.children[::-1]
+        while todo:
+            n = todo.pop()
+            if n.tag[0] != "#":
+                out.append(n)
+                if n.children:
+                    todo += n.children[::-1]
+        return out
 
     def text(self) -> str:
         if self.tag == "#text":
             return self.data
-        return "".join(n.data for n in self.walk() if n.tag == "#text")
+        out, todo = [], self.children[::-1]
+        while todo:
+            n = todo.pop()
+            if n.tag == "#text":
+                out.append(n.data)
+            elif n.children:
+                todo += n.children[::-1]
+        return "".join(out)
 
     def first(self, tag: str) -> Node | None:
-        return next((n for n in self.walk() if n.tag == tag), None)
+        todo = self.children[::-1]
+        while todo:
+            n = todo.pop()
+            if n.tag == tag:
+                return n
+            if n.children:
+                todo += n.children[::-1]
+        return None
 
 
 _TAG = re.compile(r"<(?:(!--)|(!)|(\?)|(/)?([A-Za-z][^\s/>]*))")
@@ -239,7 +261,7 @@ class Builder:
     def put_text(self, s: str) -> None:
         if not s:
             return
-        where, before = self._place()
+        where, before = self._place() if self.foster else (self.stack[-1], None)
         if before is None:
             last = where.children[-1] if where.children else None
         else:
@@ -252,7 +274,11 @@ class Builder:
 
     def open(self, tag: str, attrs: dict[str, str] | None = None) -> Node:
         node = Node(tag, attrs)
-        self.put(node)
+        if self.foster:
+            self.put(node)
+        else:
+            node.parent = top = self.stack[-1]
+            top.children.append(node)
         self.stack.append(node)
         return node
 
