@@ -309,16 +309,17 @@ def extract_pages(pages: DataFrame, extractor: Extractor, schema: Schema, clean:
     """``pages`` (url, html) cleaned and extracted: url and the result's columns.
 
     With ``min_content``, pages with fewer bytes of content have an error and the
-    extractor isn't called for them; the filter stands before the call."""
+    extractor isn't called for them."""
     from tessera.operators.pages import clean_html, enough_content
 
-    rows = pages.select("url", clean_html(F.col("html"), clean, output=output).alias("content"))
-    ok = rows.filter(enough_content(F.col("content"), min_content)) if min_content else rows
-    done = ok.select("url", extracted(F.col("content"), extractor, schema).alias("r")).select("url", "r.*")
+    content = clean_html(F.col("html"), clean, output=output)
+    rows = pages.select("url", content.alias("content"))
     if not min_content:
-        return done
-    short = rows.filter(~enough_content(F.col("content"), min_content)).select("url", F.lit("insufficient content").alias("error"))
-    return done.unionByName(short, allowMissingColumns=True)
+        return rows.select("url", extracted(F.col("content"), extractor, schema).alias("r")).select("url", "r.*")
+    # A page is cleaned once; too short ones go by the extractor as null.
+    asked = rows.select("url", F.when(enough_content(F.col("content"), min_content), F.col("content")).alias("content"))
+    done = asked.select("url", F.col("content").isNull().alias("short"), extracted(F.col("content"), extractor, schema).alias("r")).select("url", "short", "r.*")
+    return done.withColumn("error", F.when(F.col("short"), F.lit("insufficient content")).otherwise(F.col("error"))).drop("short")
 
 
 def extract_many(urls: DataFrame, pages: DataFrame, extractor: Extractor, schema: Schema, **options) -> DataFrame:
