@@ -150,17 +150,22 @@ class Parameters:
 
     def hidden(self, before: np.ndarray) -> np.ndarray:
         """The predicted vectors of contexts."""
-        return sum(self.context[before[:, j]] @ self.turn[j] for j in range(CONTEXT))
+        return sum(self.context.take(before[:, j], axis=0) @ self.turn[j] for j in range(CONTEXT))
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """What sorts ``ids``; if none needs more than two bytes, they are sorted by these."""
+    return np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
 
 
 def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids, and the sums of their ``rows``."""
     if len(ids) == 0:
         return ids, rows
-    order = np.argsort(ids, kind="stable")
+    order = _order(ids)
     s = ids[order]
     at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    return s[at], np.add.reduceat(rows[order], at, axis=0)
+    return s[at], np.add.reduceat(rows.take(order, axis=0), at, axis=0)
 
 
 class Noise:
@@ -179,49 +184,73 @@ class Trainer:
     """Noise-contrastive estimation with Adagrad, from given parameters. A step costs as much for any vocabulary."""
 
     def __init__(self, start: Parameters, v: Vocabulary, noise: int = NOISE, rate: float = RATE, seed: int = SEED):
-        self.p, self.v = Parameters(*(a.copy() for a in start.arrays())), v
         # Words that are seen once in a batch must move as well.
-        self.square = [np.full_like(a, 1e-4 if k in (1, 2, 3) else 1e-6) for k, a in enumerate(self.p.arrays())]
+        self.v, self.turn, self.turn_square = v, start.turn.copy(), np.full_like(start.turn, 1e-4)
+        # The bias is one more dimension, and beside a vector is what Adagrad has summed of it, as they move together.
+        beside = lambda rows, least: np.hstack((rows, np.full_like(rows, least)))
+        self.context = beside(start.context, 1e-6)
+        self.symbol, self.word = beside(np.column_stack((start.symbol, start.symbol_bias)), 1e-4), beside(np.column_stack((start.word, start.word_bias)), 1e-6)
         self.rate, self.rng = rate, np.random.default_rng(seed)
         self.symbol_noise = Noise(v.symbol_share, noise)
         self.word_noise = Noise(v.share[1 + v.head : 1 + v.words], noise)
         self.seen = 0
 
-    def _contrast(self, h: np.ndarray, x: np.ndarray, vectors: np.ndarray, bias: np.ndarray, noise: Noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What targets ``x`` against noise give: changes of h, the targets, changes of their vectors and bias (last)."""
-        target, drawn = vectors[x], noise.draw(self.rng)
-        real = np.einsum("ij,ij->i", h, target) + bias[x] - noise.log[x]
-        g = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigma: of real words
-        other = vectors[drawn]
-        false = h @ other.T + (bias[drawn] - noise.log[drawn])
-        q = -1 / (1 + np.exp(np.clip(-false, -30, 30)))  # - sigma: of noise words
-        dh = g[:, None] * target + q @ other
-        rows = np.vstack((np.column_stack((g[:, None] * h, g)), np.column_stack((q.T @ h, q.sum(axis=0)))))
-        return dh, *_sums(np.concatenate((x, drawn)), rows)
-
-    def _move(self, k: int, at: np.ndarray | slice, d: np.ndarray) -> None:
-        s = self.square[k][at] + d * d
-        self.square[k][at] = s
-        self.p.arrays()[k][at] += self.rate * d / np.sqrt(s)
+    @property
+    def p(self) -> Parameters:
+        n = len(self.turn[0])
+        return Parameters(self.context[:, :n], self.turn, self.symbol[:, :n], self.symbol[:, n], self.word[:, :n], self.word[:, n])
+
+    def _contrast(self, h: np.ndarray, x: np.ndarray, vectors: np.ndarray, noise: Noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What targets ``x`` against noise give: changes of h, the targets, changes of their vectors."""
+        n, drawn = h.shape[1], noise.draw(self.rng)
+        target, other = vectors.take(x, axis=0)[:, :n], vectors.take(drawn, axis=0)[:, :n]
+        with np.errstate(over="ignore"):  # far beyond any doubt: 1 / inf is the 0 that is meant
+            real = np.einsum("ij,ij->i", h, target)
+            real -= noise.log[x]
+            g = 1 / (1 + np.exp(real))  # 1 - sigma: of real words
+            q = h @ other.T
+            np.subtract(noise.log[drawn], q, out=q)
+            np.exp(q, out=q)
+            q += 1
+            np.divide(-1, q, out=q)  # - sigma: of noise words
+        target *= g[:, None]
+        target += q @ other
+        rows = np.empty((len(x) + len(drawn), n), h.dtype)
+        np.multiply(h, g[:, None], out=rows[: len(x)])
+        np.matmul(q.T, h, out=rows[len(x) :])
+        return target, *_sums(np.concatenate((x, drawn)), rows)
+
+    def _step(self, d: np.ndarray, square: np.ndarray) -> np.ndarray:
+        square += d * d
+        return self.rate * d / np.sqrt(square)
+
+    def _move(self, table: np.ndarray, at: np.ndarray, d: np.ndarray) -> None:
+        rows, n = table.take(at, axis=0), d.shape[1]
+        rows[:, :n] += self._step(d, rows[:, n:])
+        table[at] = rows
 
     def step(self, x: np.ndarray, before: np.ndarray) -> None:
         # A few words move little: they count as a batch that is empty but for them.
-        p, v, n = self.p, self.v, max(len(x), BATCH)
-        ctx = [p.context[before[:, j]] for j in range(CONTEXT)]
-        h = sum(c @ t for c, t in zip(ctx, p.turn, strict=True))
-        dh, at, d = self._contrast(h, v.symbol[x], p.symbol, p.symbol_bias, self.symbol_noise)
+        v, n = self.v, np.float32(max(len(x), BATCH))
+        dims = len(self.turn[0])
+        ctx = [self.context.take(before[:, j], axis=0)[:, :dims] for j in range(CONTEXT)]
+        h = np.ones((len(x), dims + 1), np.float32)
+        h[:, :-1] = sum(c @ t for c, t in zip(ctx, self.turn, strict=True))
+        dh, at, d = self._contrast(h, v.symbol[x], self.symbol, self.symbol_noise)
         grouped = np.flatnonzero((x > v.head) & (x <= v.words))
         if len(grouped):
-            more, w, dw = self._contrast(h[grouped], x[grouped] - 1 - v.head, p.word, p.word_bias, self.word_noise)
+            more, w, dw = self._contrast(h.take(grouped, axis=0), x[grouped] - 1 - v.head, self.word, self.word_noise)
             dh[grouped] += more
-            self._move(4, w, dw[:, :-1] / n)
-            self._move(5, w, dw[:, -1] / n)
-        self._move(2, at, d[:, :-1] / n)
-        self._move(3, at, d[:, -1] / n)
-        seen, dctx = _sums(before.T.ravel(), np.vstack([dh @ t.T for t in p.turn]))
+            dw /= n
+            self._move(self.word, w, dw)
+        d /= n
+        self._move(self.symbol, at, d)
+        dh = np.ascontiguousarray(dh[:, :-1])
+        dh /= n
+        seen, dctx = _sums(before.T.ravel(), np.vstack([dh @ t.T for t in self.turn]))
         dturn = np.stack([c.T @ dh for c in ctx])
-        self._move(0, seen, dctx / n)
-        self._move(1, slice(None), dturn / n)
+        self._move(self.context, seen, dctx)
+        self.turn += self._step(dturn, self.turn_square)
         self.seen += len(x)
 
     def learn(self, x: np.ndarray, before: np.ndarray, batch: int = BATCH) -> None:
@@ -251,28 +280,31 @@ class Scorer:
         self.symbol = np.ascontiguousarray(np.column_stack((p.symbol, p.symbol_bias)).T)
         self.word = np.ascontiguousarray(np.column_stack((p.word, p.word_bias)).T)
 
-    def log_probs(self, x: np.ndarray, before: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    def log_probs(self, x: np.ndarray, before: np.ndarray, chunk: int = 512) -> np.ndarray:
         p, v = self.p, self.v
         if not len(x):
             return np.zeros(0)
         key = before[:, 0].copy()
         for j in range(1, CONTEXT):
             key = key * len(v.share) + before[:, j]
-        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        new = np.concatenate(([True], np.diff(key[order]) != 0))
+        first, at = order[new], np.empty(len(key), np.int64)
+        at[order] = np.cumsum(new) - 1
         h = p.hidden(before[first])
         h = np.column_stack((h, np.ones(len(h), h.dtype)))
         norm = np.concatenate([_log_sums(h[i : i + chunk], self.symbol) for i in range(0, len(h), chunk)])
         s = v.symbol[x]
-        out = np.einsum("ij,ij->i", h[at, :-1], p.symbol[s]) + p.symbol_bias[s] - norm[at]
+        out = np.einsum("ij,ij->i", h.take(at, axis=0)[:, :-1], p.symbol.take(s, axis=0)) + p.symbol_bias[s] - norm[at]
         # Words of one group share a matrix product.
         w = x - 1 - v.head
         rows = np.flatnonzero((w >= 0) & (x <= v.words))
         if len(rows):
             g = v.group[w[rows]]
-            order = np.argsort(g, kind="stable")
+            order = _order(g)
             rows, g = rows[order], g[order]
-            near, w = h[at[rows]], w[rows]
-            own = np.einsum("ij,ij->i", near[:, :-1], p.word[w]) + p.word_bias[w]
+            near, w = h.take(at[rows], axis=0), w[rows]
+            own = np.einsum("ij,ij->i", near[:, :-1], p.word.take(w, axis=0)) + p.word_bias[w]
             cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 part = self.word[:, v.edges[g[a]] : v.edges[g[a] + 1]]
