@@ -51,6 +51,8 @@ ROUNDS = 3
 #: Input partitions that one training task takes at most.
 TOGETHER = 16
 SEED = 5
+#: The lowest bits of a hash, by which words are looked up.
+SLOTS = U((1 << 19) - 1)
 
 
 def folded(col: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +62,29 @@ def folded(col: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return (_classes(data)[1] if len(data) else data), base + w.start, base + w.end
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted; what sorts all of them; and where each one begins in that order."""
+    order = np.argsort(h)
+    s = h[order]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    return s[first], order, first
+
+
+def endings(col: pa.Array, w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``folded``, but of the last 4 bytes of the words ``which`` only. No letter that
+    has two forms is longer than 3 bytes, so the last two bytes are as in the whole text."""
+    data, offs = text_bytes(col)
+    base = offs[w.row[which]]
+    end = base + w.end[which]
+    size = np.minimum(end - base - w.start[which], 4)
+    out = np.full(5 * len(which) + 1, 32, np.uint8)
+    to = np.arange(len(which)) * 5 + 4
+    for j in range(1, 5):
+        has = size >= j
+        out[to[has] - j] = data[end[has] - j]
+    return _classes(out)[1], to - size, to
+
+
 def class_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, classes: int) -> np.ndarray:
     """The class of each word, by its last two bytes."""
     if len(end) == 0:
@@ -80,6 +105,11 @@ class Vocabulary:
         h = np.array([r[0] for r in rows], np.int64).view(U)
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.arange(1, len(rows) + 1)[order]
+        #: By the lowest bits of a hash, where it may be in ``hashes``; and whether others have these bits as well.
+        slot = (self.hashes & SLOTS).astype(np.int64)
+        self.slot = np.zeros(int(SLOTS) + 1, np.int32)
+        self.slot[slot] = np.arange(len(rows))
+        self.shared = np.bincount(slot, minlength=len(self.slot)) > 1
         self.head, self.words, self.classes = min(head, len(top)), len(rows), len(rest)
         share = np.concatenate(([0.0], np.array([r[1] for r in rows], float) + 1, np.asarray(rest, float) + 1))
         self.share = share / share.sum()
@@ -96,8 +126,14 @@ class Vocabulary:
         """-1 for words beyond the vocabulary."""
         if len(self.hashes) == 0:
             return np.full(len(h), -1, np.int64)
+        low = (h & SLOTS).astype(np.int64)
+        at = self.slot[low]
+        out = np.where(self.hashes[at] == h, self.ids[at], -1)
+        again = np.flatnonzero(self.shared[low])
+        h = h[again]
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], -1)
+        out[again] = np.where(self.hashes[at] == h, self.ids[at], -1)
+        return out
 
     def stream(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the words, the ids of their contexts (words x CONTEXT), and their rows."""
@@ -107,8 +143,7 @@ class Vocabulary:
         x = self.ids_of(w.hash)
         rest = np.flatnonzero(x < 0)
         if len(rest):
-            data, start, end = folded(col, w)
-            x[rest] = 1 + self.words + class_of(data, start[rest], end[rest], self.classes)
+            x[rest] = 1 + self.words + class_of(*endings(col, w, rest), self.classes)
         before = np.full((len(x), CONTEXT), BEGIN, np.int64)
         for j in range(1, CONTEXT + 1):
             if len(x) > j:
@@ -165,7 +200,11 @@ def _sums(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = _order(ids)
     s = ids[order]
     at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    return s[at], np.add.reduceat(rows.take(order, axis=0), at, axis=0)
+    rows = rows.take(order, axis=0)
+    if rows.dtype == np.float32 and rows.shape[1] % 2 == 0:
+        # Two columns at a time, which complex numbers add apart.
+        return s[at], np.add.reduceat(rows.view(np.complex64), at, axis=0).view(np.float32)
+    return s[at], np.add.reduceat(rows, at, axis=0)
 
 
 class Noise:
@@ -215,10 +254,12 @@ class Trainer:
             np.divide(-1, q, out=q)  # - sigma: of noise words
         target *= g[:, None]
         target += q @ other
-        rows = np.empty((len(x) + len(drawn), n), h.dtype)
-        np.multiply(h, g[:, None], out=rows[: len(x)])
-        np.matmul(q.T, h, out=rows[len(x) :])
-        return target, *_sums(np.concatenate((x, drawn)), rows)
+        # An even number of columns, for the sums.
+        rows = np.zeros((len(x) + len(drawn), n + n % 2), h.dtype)
+        np.multiply(h, g[:, None], out=rows[: len(x), :n])
+        rows[len(x) :, :n] = q.T @ h
+        at, d = _sums(np.concatenate((x, drawn)), rows)
+        return target, at, np.ascontiguousarray(d[:, :n])
 
     def _step(self, d: np.ndarray, square: np.ndarray) -> np.ndarray:
         square += d * d
@@ -321,7 +362,9 @@ def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(col):
             t = tokens(col)
-            k, first, c = np.unique(t.hash, return_index=True, return_counts=True)
+            k, order, at = distinct(t.hash)
+            # Any occurrence will do: words of one hash are folded alike.
+            first, c = order[at], np.diff(np.append(at, len(order)))
             data, start, end = folded(col, t)
             start, end = start[first], end[first]
             offs = np.concatenate(([0], np.cumsum(end - start)))
@@ -330,8 +373,9 @@ def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
             return k, c, spelt, class_of(data, start, end, classes)
 
         def summed(held):
-            k, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
-            c = np.bincount(at, np.concatenate([h[1] for h in held]), len(k)).astype(np.int64)
+            k, order, at = distinct(np.concatenate([h[0] for h in held]))
+            first = order[at]
+            c = np.add.reduceat(np.concatenate([h[1] for h in held])[order], at) if len(k) else np.zeros(0, np.int64)
             return k, c, pa.concat_arrays([h[2] for h in held]).take(pa.array(first)), np.concatenate([h[3] for h in held])[first]
 
         def given(k, c, spelt, g):

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 from tessera.llm import lm
-from tessera.llm.words import word_hash
+from tessera.llm.words import tokens, word_hash
 
 
 def grammar(rng, n):
@@ -125,3 +125,35 @@ def test_spellings_are_normalised():
         assert np.isclose(np.nansum(np.exp(np.where(s.pair[context // n % n] > 0, s.log_probs(np.arange(n) + context), -np.inf))), 1)
     empty = np.exp(s.log_probs(np.array([lm.EDGE * (1 + n + n * n)])))[0]
     assert np.isclose(s.class_mass(7).sum(), 1 - empty)
+
+
+def test_only_ends_of_words_beyond_the_vocabulary_are_folded(monkeypatch):
+    texts = pa.array(["the end " * 500 + "Ünder ÉÉ ΩΣ Ẁ x ЖЖ 日本 don’t aẞ naïVE \U0001f600Ab A", None, "", "Zq", "É", "the" + "é" * 9])
+    w = tokens(texts)
+    top = [(int(h), 5, b"e") for h in np.unique(w.hash[:2]).view(np.int64)]
+    v = lm.Vocabulary(top, np.ones(32))
+    data, start, end = lm.folded(texts, w)
+    rest = np.flatnonzero(v.ids_of(w.hash) < 0)
+    assert 8 < len(rest) < 30
+    seen, real = [], lm._classes
+    monkeypatch.setattr(lm, "_classes", lambda d: seen.append(len(d)) or real(d))
+    x, _, _ = v.stream(texts)
+    assert np.array_equal(x[rest], 1 + v.words + lm.class_of(data, start[rest], end[rest], 32))
+    assert sum(seen) <= 5 * len(rest) + 1
+
+
+def test_words_whose_hashes_end_alike_are_told_apart():
+    low = int(lm.SLOTS) + 1
+    held = [7, 7 + low, 7 + 9 * low, 8, -low + 3]
+    v = lm.Vocabulary([(h, 5, b"e") for h in held], np.ones(4))
+    probe = np.array([*held, 7 + 2 * low, 8 + low, 0, 9], np.int64).view(np.uint64)
+    by_hash = dict(zip(v.hashes.tolist(), v.ids.tolist(), strict=True))
+    assert v.ids_of(probe).tolist() == [by_hash.get(int(h), -1) for h in probe]
+
+
+def test_sums_by_pairs_of_columns_equal_plain_ones():
+    rng = np.random.default_rng(1)
+    ids, rows = rng.integers(0, 9, 300), rng.normal(size=(300, 18)).astype(np.float32)
+    at, got = lm._sums(ids, rows)
+    assert np.array_equal(at, np.arange(9)) and got.dtype == np.float32
+    assert np.allclose(got, np.stack([rows[ids == k].sum(axis=0) for k in at]), atol=1e-4)
