@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tessera.functions import text as T
 from tessera.functions import url as U
@@ -25,18 +28,33 @@ RESULT = f"struct<content:string,stats:{STATS},metadata:{METADATA},warnings:arra
 FETCHED = "struct<title:string,text:string,links:array<string>>"
 
 
-def _column(ddl: str, fn: Callable[..., object], *cols: Column) -> Column:
-    """A row function as an Arrow column of type ``ddl``; null where the first column is null."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
+#: Bytes of pages whose results are Python objects at once; what a page counts at least; nodes that are so.
+PART, LEAST, NODES_HELD = 1 << 20, 1 << 9, 1 << 14
+
+
+def parts(texts: pa.Array, limit: int = PART) -> Iterator[tuple[int, int]]:
+    """(start, rows) of stretches of about ``limit`` bytes. A batch has up to 64 MB of pages, and results as objects take many times that."""
+    at = size = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += max(n, LEAST)
+        if size >= limit:
+            yield at, k + 1 - at
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts) - at
 
+
+def _column(ddl: str, fn: Callable[..., object], *cols: Column) -> Column:
+    """A row function of texts as an Arrow column of type ``ddl``; null where the first column is null."""
     kind = to_arrow_type(StructType.fromDDL(f"x {ddl}")["x"].dataType)
 
     @F.arrow_udf(ddl)
     def run(first: pa.Array, *rest: pa.Array) -> pa.Array:
-        others = [r.to_pylist() for r in rest]
-        out = [None if x is None else fn(x, *(o[k] for o in others)) for k, x in enumerate(first.to_pylist())]
-        return pa.array(out, kind)
+        out = [pa.array([], kind)]
+        for at, n in parts(first):
+            others = [r.slice(at, n).to_pylist() for r in rest]
+            out.append(pa.array([None if x is None else fn(x, *(o[k] for o in others)) for k, x in enumerate(first.slice(at, n).to_pylist())], kind))
+        return pa.concat_arrays(out)
 
     # Else a filter that Spark infers or pushes below would parse the pages once more.
     return run.asNondeterministic()(*cols)
@@ -163,7 +181,8 @@ def headings(html: Column) -> Column:
     return _column("array<struct<level:int,text:string,id:string>>", lambda h: [{"level": v, "text": t, "id": i} for v, t, i in headings_of(parse(h))], html)
 
 
-NODES = "array<struct<pre:int,post:int,parent:int,depth:int,kind:string,tag:string,attrs:array<struct<k:string,v:string>>,data:string>>"
+ATTRIBUTES = ArrayType(StructType().add("k", "string").add("v", "string"))
+NODE = StructType().add("pre", "integer").add("post", "integer").add("parent", "integer").add("depth", "integer").add("kind", "string").add("tag", "string").add("attrs", ATTRIBUTES).add("data", "string")
 
 
 def node_rows(html: str) -> list[dict]:
@@ -186,10 +205,32 @@ def node_rows(html: str) -> list[dict]:
     return out
 
 
+def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of pages (page_id, html) in batches that end with a page, once they have ``NODES_HELD`` nodes."""
+    kind = to_arrow_type(NODE)
+
+    def batch(ids: pa.Array, at: list[int], rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), *pa.array(rows, kind).flatten()], ["page_id", *(f.name for f in kind)])
+
+    for b in batches:
+        ids, html = b.column(0), b.column(1)
+        at, rows = [], []
+        for start, n in parts(html):
+            for k, h in enumerate(html.slice(start, n).to_pylist(), start):
+                if h is not None:
+                    new = node_rows(h)
+                    at += [k] * len(new)
+                    rows += new
+                if len(rows) >= NODES_HELD:
+                    yield batch(ids, at, rows)
+                    at, rows = [], []
+        yield batch(ids, at, rows)
+
+
 def dom_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row for each node of each page: id, pre, post, parent, depth, kind, tag, attrs, data."""
-    nodes = _column(NODES, node_rows, F.col(html_col))
-    return pages.select(F.col(id_col).alias("page_id"), F.explode(nodes).alias("n")).select("page_id", "n.*")
+    p = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    return p.mapInArrow(node_batches, StructType([StructField("page_id", p.schema["page_id"].dataType), *NODE]))
 
 
 def challenge_class(title: Column, html: Column) -> Column:

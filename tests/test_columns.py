@@ -232,6 +232,35 @@ def test_relational_phases_equal_kernel(spark, changes, matches):
         assert got.get(k, "") == r.content and many.get(k, 0) == sum(x.removed for x in r.stats.phases)
 
 
+def test_nodes_come_in_small_batches():
+    import pyarrow as pa
+
+    html = ["<p>x</p>" * 1000] * 90 + [None, ""]
+    got = list(pages.node_batches(iter([pa.RecordBatch.from_pydict({"page_id": pa.array(range(92), pa.int64()), "html": pa.array(html)})])))
+    assert max(b.num_rows for b in got) < pages.NODES_HELD + 2100 and len(got) > 9
+    want = [{"page_id": k} | n for k, h in enumerate(html) if h is not None for n in pages.node_rows(h)]
+    assert [r for b in got for r in b.to_pylist()] == want
+
+
+def test_results_of_a_batch_are_not_held_at_once(spark):
+    held = []
+
+    def one(h):
+        import weakref
+
+        class Result(dict):
+            pass
+
+        held.append(weakref.ref(r := Result(size=len(h))))
+        r["n"] = sum(x() is not None for x in held)
+        return r
+
+    df = spark.range(40, numPartitions=1).select(F.when(F.col("id") != 7, F.repeat(F.lit("x"), F.lit(1 << 18))).alias("h"))
+    got = [r.x for r in df.select(pages._column("struct<size:int,n:int>", one, F.col("h")).alias("x")).collect()]
+    assert [k for k, x in enumerate(got) if x is None] == [7] and {x["size"] for x in got if x} == {1 << 18}
+    assert max(x["n"] for x in got if x) <= 8
+
+
 def test_sinks(spark, tmp_path):
     from tessera.sources import sinks
 
