@@ -79,8 +79,19 @@ def render_url(u: str, base: str = "", enabled: bool = False) -> str:
 
 
 # -- the same as columns
+#: URLs that parse and are normal already. Most are, and rules of their own take many times as long.
+_PLAIN = r"https?://[A-Za-z0-9.-]++(?::[0-9]++)?+(?:/[A-Za-z0-9._~-]++)*+"
+#: Two of them with a blank between, and two with one host and port.
+_PAIR = f"^{_PLAIN} {_PLAIN}\\z"
+_SAME = r"^https?://([A-Za-z0-9.-]++(?::[0-9]++)?+)(?:/[A-Za-z0-9._~-]++)*+ https?://\1(?:/[A-Za-z0-9._~-]++)*+\z"
+
+
 def normalize(c: Column) -> Column:
     """Without fragment and one slash at the path's end; '' if it doesn't parse. Hosts and queries stay."""
+    return F.when(c.rlike(f"^{_PLAIN}\\z"), c).otherwise(_normalize(c))
+
+
+def _normalize(c: Column) -> Column:
     u = F.regexp_replace(F.regexp_replace(c, "#.*$", ""), "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+/[^?]+?)/($|[?])", "$1$2")
     ok = F.try_parse_url(F.regexp_replace(u, "[^\\x21-\\x7e]", "x"), F.lit("PROTOCOL")).isNotNull() | ~c.contains(":")
     return F.when(c.isNull(), F.lit(None)).when(ok, u).otherwise("")
@@ -96,6 +107,15 @@ def same_domain(a: Column, b: Column) -> Column:
     return F.coalesce(authority(a) == authority(b), F.lit(False))
 
 
+def leads_on(src: Column, dst: Column, stay: bool = True) -> Column:
+    """Whether a link's target parses, and if ``stay`` has the host and port of its normalised source."""
+    if not stay:
+        return normalize(dst) != ""
+    pair = F.concat(src, F.lit(" "), dst)
+    plain, same = (F.coalesce(pair.rlike(p), F.lit(False)) for p in (_PAIR, _SAME))
+    return same | (~plain & same_domain(_normalize(src), dst) & (_normalize(dst) != ""))
+
+
 def drop_fragment(c: Column) -> Column:
     return F.regexp_replace(c, "#.*$", "")
 

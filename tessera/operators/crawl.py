@@ -50,22 +50,24 @@ def levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 1, same_domain:
 
     URLs of both tables are normalised once; each is given once, at its least depth. A
     URL's order is that of the path of places that leads to it, so rows are numbered at the
-    end, or not at all: without ``numbered`` the result is (url, depth)."""
+    end, or not at all: without ``numbered`` the result is (url, depth), and paths are kept
+    only where ``max_urls`` needs them."""
     spark = edges.sparkSession
-    e = edges.select(U.normalize(F.col("src")).alias("src"), "dst", F.col("pos").cast("long").alias("pos"))
-    if same_domain:
-        e = e.filter(U.same_domain(F.col("src"), F.col("dst")))
-    e = e.select("src", U.normalize(F.col("dst")).alias("dst"), "pos").filter("dst <> ''")
+    ordered = numbered or bool(max_urls)
+    e = edges.filter(U.leads_on(F.col("src"), F.col("dst"), same_domain))
+    e = e.select(U.normalize(F.col("src")).alias("src"), U.normalize(F.col("dst")).alias("dst"), *([F.col("pos").cast("long").alias("pos")] if ordered else []))
     e = written(e, "edges")
 
     def first(found: DataFrame) -> DataFrame:
-        return found.groupBy("url").agg(F.min("path").alias("path"))
+        # The least of arrays takes sorting by URL, before and after the shuffle.
+        return found.groupBy("url").agg(F.min("path").alias("path")) if ordered else found.select("url").distinct()
 
     start = seeds.select(U.normalize(F.col("url")).alias("url"), F.array(F.col("seq").cast("long")).alias("path")).filter("url <> ''")
     now, held, taken = first(start), [], 0
     for depth in range(max_depth + 1):
         if depth:
-            found = now.join(e, now["url"] == e["src"]).select(F.col("dst").alias("url"), F.concat("path", F.array("pos")).alias("path"))
+            found = now.join(e, now["url"] == e["src"])
+            found = found.select(F.col("dst").alias("url"), *([F.concat("path", F.array("pos")).alias("path")] if ordered else []))
             seen = held[0].select("url")
             for x in held[1:]:
                 seen = seen.union(x.select("url"))
@@ -82,7 +84,7 @@ def levels(seeds: DataFrame, edges: DataFrame, max_depth: int = 1, same_domain:
             break
     out = spark.createDataFrame([], "url string, path array<long>, depth int")
     for depth, x in enumerate(held):
-        x = x.select("url", "path", F.lit(depth).alias("depth"))
+        x = x.withColumn("depth", F.lit(depth))
         out = x if not depth else out.unionByName(x)
     if not numbered:
         return out.select("url", "depth")

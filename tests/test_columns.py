@@ -22,6 +22,34 @@ def test_same_domain(spark):
     assert df.filter(U.same_domain(F.col("a"), F.col("b")) != F.col("want")).count() == 0
 
 
+def test_plain_links_equal_parsed_ones(spark):
+    """What a pattern tells of URLs is what parsing them tells; levels without order need neither paths nor places."""
+    urls = ["http://h/a", "https://h/b/c", "http://h", "http://h/", "http://h/a/", "http://h//a", "http://h:1/a", "http://h:/a", "http://hh/a", "http://h/a#f", "http://h/a#b#c", "http://h/a\n", "http://u@h/a", "http://h/é", "http://h/a?x", "//h:80/a", "::", "/a", "", "http://h/a http://h/a", None]
+    df = spark.createDataFrame([(a, b) for a in urls for b in urls], "src string, dst string").cache()
+    src, dst = F.col("src"), F.col("dst")
+    slow = F.coalesce(U.same_domain(U._normalize(src), dst) & (U._normalize(dst) != ""), F.lit(False))
+    assert df.filter(~U.normalize(src).eqNullSafe(U._normalize(src))).count() == 0
+    assert df.filter(slow != F.coalesce(U.leads_on(src, dst), F.lit(False))).count() == 0 and df.filter(slow).count() > 40
+    assert df.filter(U.leads_on(src, dst, False)).count() == df.filter(U._normalize(dst) != "").count()
+
+
+def test_levels_without_order(spark):
+    e = spark.createDataFrame([("http://h/a", "http://h/b", 1), ("http://h/a/", "http://h/c#x", 0), ("http://h/b", "http://h/c", 0), ("http://h/c", "http://o/d", 0), ("http://h/c", "http://h/a", 1), ("http://h/c", "http://h/e/", 2), ("http://h/e", "http://h/f", 0)], "src string, dst string, pos int")
+    seeds = spark.createDataFrame([("http://h/a#", 0), ("http://h/a", 1), ("::", 2)], "url string, seq int")
+    ordered = crawl.levels(seeds, e, max_depth=2)
+    assert [(r.url[-1], r.depth) for r in ordered.orderBy("seq").collect()] == [("a", 0), ("c", 1), ("b", 1), ("e", 2)]
+    plain = crawl.levels(seeds, e, max_depth=2, numbered=False)
+    assert sorted(map(tuple, plain.collect())) == sorted((r.url, r.depth) for r in ordered.collect())
+    assert {r.url for r in crawl.levels(seeds, e, max_depth=2, max_urls=2, numbered=False).collect()} == {"http://h/a", "http://h/c"}
+    kept = []
+    made, crawl.written = crawl.written, lambda df, name: kept.append((name, df.columns)) or made(df, name)
+    try:
+        crawl.levels(seeds, e, max_depth=1, numbered=False)
+    finally:
+        crawl.written = made
+    assert kept == [("edges", ["src", "dst"]), ("level-0", ["url"]), ("level-1", ["url"])]
+
+
 URLS = ["/x?utm_source=1&a=2&GCLID=3#f?x", "/x", "/x?", "/x?&&b&ref=1", "/x#f?utm_id=1", "a?UTM_any=1", "?a=b&a=b"]
 
 
